@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import binary_ids, bpe, packing, token_counts
+from . import binary_ids, bpe, language_id, merkle, packing, token_counts
 
 
 def queries() -> dict:
     """By name, functions of a session and a folder of tables."""
     return {
+        "op1_language_id": language_id.op1_language_id,
+        "op2_merkle": merkle.op2_merkle,
         "op3_packing": packing.op3_packing,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op7_token_counts": token_counts.op7_token_counts,
