@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_ids, bpe, language_id, merkle, packing, token_counts
+from . import binary_ids, bpe, language_id, merkle, packing, pii, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_language_id": language_id.op1_language_id,
         "op2_merkle": merkle.op2_merkle,
         "op3_packing": packing.op3_packing,
+        "op4_pii": pii.op4_pii,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op7_token_counts": token_counts.op7_token_counts,
         "op10_binary_ids": binary_ids.op10_binary_ids,
