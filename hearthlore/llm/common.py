@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows gathered before an output batch is handed back, and the bytes of payload that end a batch early.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Rows that Spark sends to a Python worker at once; texts can be long.
+ARROW_ROWS = 1000
 #: Partition totals that are broadcast.
 BASES = 1_000_000
 
@@ -69,11 +71,13 @@ def map_rows(df: DataFrame, schema: str, each: Callable[[Iterator[tuple]], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns))
+                for at in range(0, b.num_rows, 256):
+                    yield from zip(*(c.to_pylist() for c in b.slice(at, 256).columns))
 
         yield from batches_of(each(rows()), arrow)
 
     arrow = arrow_schema(df.sparkSession, schema)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.mapInArrow(run, schema)
 
 

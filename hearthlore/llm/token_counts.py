@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from .common import map_rows, texts_of
-from .tokens import _Missing
+from .tokens import Missing
 
 MARK = "▁"
 _units = re.compile(" *[^ \n]+| +|\n").findall
@@ -38,8 +38,8 @@ class Counter:
         self.scores = {model.id_to_piece(i): -model.get_score(i) for i in usual}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.scores):
             raise ValueError("pieces of this model reach across words; units can't be counted apart")
-        self.words = _Missing(lambda word: self._word(MARK + word))
-        self.others = _Missing(lambda unit: self.merge(unit.replace(" ", MARK)))
+        self.words = Missing(lambda word: self._word(MARK + word))
+        self.others = Missing(lambda unit: self.merge(unit.replace(" ", MARK)))
 
     def merge(self, unit: str) -> int:
         """The number of tokens of one unit."""

@@ -28,8 +28,8 @@ _PLAIN = re.compile(f"[\\x00-\\x7f{_LETTER}]*").fullmatch
 _PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\t-\\r {_LETTER}0-9]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+"
 ).findall
-#: Units and pieces that one worker remembers; on overflow it forgets them all.
-CACHE = 400_000
+#: Units that one worker remembers newly; then they become the old ones, and those before are forgotten.
+CACHE = 200_000
 
 
 def byte_chars() -> list[str]:
@@ -81,17 +81,21 @@ def from_ranks(path: str, pattern: str):
     return tok
 
 
-class _Missing(dict):
-    """A bounded dictionary that computes what it lacks."""
+class Missing(dict):
+    """A bounded dictionary that computes what it lacks; what is in use outlives an overflow."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        self[key] = out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -104,9 +108,11 @@ class Encoder:
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.table = str.maketrans({b: c for b, c in enumerate(byte_chars())})
-        self.pieces = _Missing(lambda piece: self._merge(piece.encode().decode("latin-1").translate(self.table)))
-        self.whole = _Missing(self._unit)
-        self.spaced = _Missing(lambda part: self._unit(" " + part))
+        self.pieces = Missing(lambda piece: self._merge(piece.encode().decode("latin-1").translate(self.table)))
+        self.whole = Missing(self._unit)
+        self.spaced = Missing(self._after_space)
+        self.marks = {m: self._merge(m) for m in ".,"}
+        self.line = self._merge(byte_chars()[10])
 
     def _bytes(self, ids: Iterable[int]) -> bytes:
         out = array(self.code, ids)
@@ -115,7 +121,17 @@ class Encoder:
         return out.tobytes()
 
     def _merge(self, mapped: str) -> bytes:
-        return self._bytes(t.id for t in self.model.tokenize(mapped))
+        return self._bytes([t.id for t in self.model.tokenize(mapped)])
+
+    def _after_space(self, part: str) -> bytes:
+        if part.isascii():
+            if part.isalpha():
+                return self._merge("\u0120" + part)  # the byte table's character for a space; letters stand for themselves
+            if part[-1:] in self.marks and part[:-1].isalpha():
+                return self.spaced[part[:-1]] + self.marks[part[-1]]
+        if part[:1] == "\n":
+            return self.line + (self.whole[part[1:]] if part[1:] else b"")
+        return self._unit(" " + part)
 
     def _unit(self, unit: str) -> bytes:
         if _WORD(unit, 1 if unit[:1] == " " else 0):
@@ -128,9 +144,9 @@ class Encoder:
         """A text's identifiers as bytes of ``dtype``."""
         if any(s in text for s in self.special):
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if _AFTER_SPACE(text):
+        if _AFTER_SPACE(text) or " \n" in text or "\n\n" in text:
             return b"".join(map(self.whole.__getitem__, _UNITS(text)))
-        first, *rest = text.split(" ")
+        first, *rest = text.replace("\n", " \n").split(" ")  # a lone line feed is a piece of its own
         return (self.whole[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
 
