@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_ids, bpe, language_id, merkle, packing, pii, token_counts
+from . import binary_ids, bpe, language_id, merkle, ngram_join, packing, pii, token_counts
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op4_pii": pii.op4_pii,
         "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_token_counts": token_counts.op7_token_counts,
         "op10_binary_ids": binary_ids.op10_binary_ids,
     }
