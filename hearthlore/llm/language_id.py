@@ -21,10 +21,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import ARROW_ROWS, map_rows, texts_of
 
 #: The bounds of the training sample, for each language.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 600, 1 << 16
@@ -56,29 +57,51 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return [(x, b"\n".join(parts[x])[-DICT_BYTES:]) for x in sorted(n, key=lambda x: (-n[x], x))]
 
 
-def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score, rejected``; the score is the relative margin of the best language."""
+class Decider:
+    """``(language, score, rejected)`` of a text."""
 
-    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+    def __init__(self, model: list[tuple[str, bytes]], min_margin: float):
         import zstandard
 
-        coders = []
+        self.min_margin, self.coders = min_margin, []
         for k, (lang, content) in enumerate(model):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            coders.append((k, lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)))
+            self.coders.append((k, lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)))
+
+    def __call__(self, text: str) -> tuple[str, float, bool]:
+        own = letters_of(text)
+        if not own or not self.coders:
+            return "und", 0.0, True
+        sizes = sorted((len(c.compress(own)), k, lang) for k, lang, c in self.coders)
+        score = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
+        return sizes[0][2], score, score < self.min_margin
+
+
+def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, lang_pred, score, rejected``; the score is the relative margin of the best language."""
+
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        decide = Decider(model, min_margin)
         for doc_id, text in rows:
-            own = letters_of(text)
-            if not own or not coders:
-                yield doc_id, "und", 0.0, True
-                continue
-            sizes = sorted((len(c.compress(own)), k, lang) for k, lang, c in coders)
-            score = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
-            yield doc_id, sizes[0][2], score, score < min_margin
+            yield doc_id, *decide(text)
 
     return map_rows(texts_of(docs, id_col, text_col), "doc_id long, lang_pred string, score double, rejected boolean", each)
 
 
+def decided(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected, with all their columns."""
+
+    @F.pandas_udf("boolean")
+    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decide = Decider(model, min_margin)
+        for texts in batches:
+            yield texts.map(lambda t: not decide(t or "")[2])
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return docs.where(keep(F.col(f"`{text_col}`")))
+
+
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     """Learn from four folds of the labelled documents, predict all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import ARROW_ROWS, map_rows, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The bounds of the training sample, and of an entity.
@@ -317,6 +317,7 @@ def redact(docs: DataFrame, weights: dict[tuple[str, str], float], text_col: str
         for texts in batches:
             yield texts.map(one)
 
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return docs.withColumn(text_col, replace(F.col(f"`{text_col}`")))
 
 
