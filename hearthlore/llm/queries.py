@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_ids, bpe, language_id, merkle, ngram_join, packing, pii, token_counts, topk
+from . import binary_ids, bpe, katz, language_id, merkle, ngram_join, packing, pii, token_counts, topk
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_katz": katz.op8_katz,
         "op9_top_k": topk.op9_top_k,
         "op10_binary_ids": binary_ids.op10_binary_ids,
     }
