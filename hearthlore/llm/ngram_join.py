@@ -19,9 +19,11 @@ shingle is frequent if its counter is well above the mean. Collisions only make
 frequent; the order stays the same for all documents, so results don't depend on it. A rare
 shingle's list is therefore bounded, and a frequent one is only met in combinations.
 
-Equal sets are one class (size and a 96-bit hash), which each task emits once. From the
-lists, each document is first verified against its smallest partner; only documents of
-different components are then verified against each other. Verification compares the sets of
+Equal sets are one class (size and a 96-bit hash), which each task emits once. Lists with the
+same members are one list, with a weight. In each list the smallest document is the hub; each
+document is first verified against the hub with which it shares most. Then only documents of
+different components are verified against each other, where their sizes and the number of
+signatures that they share leave a link possible. Verification compares the sets of
 whole texts: hubs are salted, and members stream past their hub.
 
 Defined results: null and empty texts and texts without words have 0 shingles and are their
@@ -46,7 +48,9 @@ from .components import components
 from .words import blocks, mix, shingle_sets
 
 #: Counters of the sketch, and of one block that travels.
-SKETCH, SKETCH_BLOCK = 1 << 20, 1 << 14
+SKETCH, SKETCH_BLOCK = 1 << 24, 1 << 14
+#: A counter that is above the mean by four deviations and this many is frequent.
+LEAST = 8
 #: Sets that a task remembers as emitted, members that share one copy of their hub, routes that are broadcast.
 SEEN, MEMBERS, ROUTES = 200_000, 256, 1_000_000
 _U = np.uint64
@@ -120,7 +124,13 @@ def _profile(docs: DataFrame) -> DataFrame:
     arrow = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(SKETCH, np.int64), [], 0
+        counts, held, size = np.zeros(SKETCH, np.uint16), [], 0
+
+        def add() -> None:
+            at, n = np.unique(np.concatenate(held) & _U(SKETCH - 1), return_counts=True)
+            at = at.astype(np.int64)
+            counts[at] = np.minimum(counts[at] + n, 65535)
+
         for b in batches:
             out = []
             for doc_id, own in _sets([b]):
@@ -128,13 +138,13 @@ def _profile(docs: DataFrame) -> DataFrame:
                 held.append(own)
                 size += len(own)
                 if size > 1 << 18:
-                    counts += np.bincount((np.concatenate(held) & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                    add()
                     held, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
         if held:
-            counts += np.bincount((np.concatenate(held) & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        rows = [(None, None, None, k, zlib.compress(part.astype("<i4").tobytes(), 1)) for k, part in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if part.any()]
+            add()
+        rows = [(None, None, None, k, zlib.compress(part.astype("<u2").tobytes(), 1)) for k, part in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if part.any()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
@@ -144,31 +154,32 @@ def _profile(docs: DataFrame) -> DataFrame:
 
 def _frequent(profile: DataFrame) -> np.ndarray:
     """Which counters are frequent: SKETCH flags, whatever the input's size."""
+    mean = (profile.agg(F.sum("n_shingles")).collect()[0][0] or 0) / SKETCH
+    limit = mean + 4 * mean**0.5 + LEAST
 
-    def add(rows: Iterator[tuple]) -> Iterator[tuple]:
+    def flag(rows: Iterator[tuple]) -> Iterator[tuple]:
         at, total = None, None
         for block, counts in rows:
-            own = np.frombuffer(zlib.decompress(counts), "<i4").astype(np.int64)
+            own = np.frombuffer(zlib.decompress(counts), "<u2").astype(np.int64)
             if block != at and total is not None:
-                yield at, zlib.compress(total.tobytes(), 1)
+                yield at, np.packbits(total > limit).tobytes()
                 total = None
             total, at = own if total is None else total + own, block
         if total is not None:
-            yield at, zlib.compress(total.tobytes(), 1)
+            yield at, np.packbits(total > limit).tobytes()
 
     parts = profile.where("block IS NOT NULL").select("block", "counts").repartition("block").sortWithinPartitions("block")
-    counts = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
-    for block, total in map_rows(parts, "block int, total binary", add).collect():
-        counts[block] = np.frombuffer(zlib.decompress(total), np.int64)
-    mean = counts.mean()
-    return counts.reshape(-1) > mean + 4 * mean**0.5 + 48
+    out = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), bool)
+    for block, bits in map_rows(parts, "block int, bits binary", flag).collect():
+        out[block] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+    return out.reshape(-1)
 
 
 def _emitted(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """``key, cls, single`` of all signatures; a task emits a class once."""
     schema = "key long, cls binary, single boolean"
     arrow = arrow_schema(docs.sparkSession, schema)
-    flags = np.packbits(frequent).tobytes()
+    flags = zlib.compress(np.packbits(frequent).tobytes())
 
     def batch(held: list[tuple[np.ndarray, bytes, bool]]) -> pa.RecordBatch:
         keys = np.concatenate([k for k, _, _ in held]).view(np.int64)
@@ -179,7 +190,7 @@ def _emitted(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys), one, pa.array(np.repeat([s for _, _, s in held], sizes))], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
+        often = np.unpackbits(np.frombuffer(zlib.decompress(flags), np.uint8)).astype(bool)
         seen: set[bytes] = set()
         held, size = [], 0
         for _, own in _sets(batches):
@@ -203,16 +214,14 @@ def _emitted(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _lists(singles: DataFrame) -> DataFrame:
-    """``list, cls`` of rare signatures that at least two classes have; equal lists once.
+    """``list, cls, weight`` of rare signatures that at least two classes have: equal lists once, with how many they are.
 
     The rows of a key are bounded by the classes of signatures, so a list fits a task.
     """
-    schema = "list binary, members array<binary>"
+    schema = "list binary, members array<binary>, weight long"
     arrow = arrow_schema(singles.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-
         def found(keys: np.ndarray, cls: np.ndarray) -> pa.RecordBatch | None:
             fresh = np.ones(len(keys), bool)
             fresh[1:] = (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1]).any(1)
@@ -220,14 +229,10 @@ def _lists(singles: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             ends = np.concatenate([starts[1:], [len(keys)]])
             many = ends - starts >= 2
-            rows = []
+            spans: dict[bytes, list[int]] = {}
             for a, b in zip(starts[many].tolist(), ends[many].tolist()):
-                name = hashlib.blake2b(cls[a:b].tobytes(), digest_size=16).digest()
-                if name not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(name)
-                    rows.append((name, [x.tobytes() for x in cls[a:b]]))
+                spans.setdefault(hashlib.blake2b(cls[a:b].tobytes(), digest_size=16).digest(), [a, b, 0])[2] += 1
+            rows = [(name, [x.tobytes() for x in cls[a:b]], n) for name, (a, b, n) in spans.items()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow) if rows else None
 
         keys, cls = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
@@ -245,7 +250,18 @@ def _lists(singles: DataFrame) -> DataFrame:
             yield out
 
     ordered = singles.select("key", "cls").repartition("key").sortWithinPartitions("key", "cls")
-    return ordered.mapInArrow(run, schema).dropDuplicates(["list"]).select("list", F.explode("members").alias("cls"))
+    lists = ordered.mapInArrow(run, schema).groupBy("list").agg(F.first("members").alias("members"), F.sum("weight").alias("weight"))
+    return lists.select("list", F.explode("members").alias("cls"), "weight")
+
+
+def _possible(n: str, m: str, weight: str, both_pure: str) -> str:
+    """SQL: whether sets of ``n`` and ``m`` shingles that share so many single signatures can be linked.
+
+    If both prefixes are rare shingles alone, what the sets share is at most the shared part
+    of the prefixes and what lies behind them.
+    """
+    behind = f"greatest({n} - {n} div 5, {m} - {m} div 5) - 1"
+    return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) AND (NOT {both_pure} OR 9 * ({weight} + {behind}) >= 4 * ({n} + {m}))"
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
@@ -287,13 +303,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     own = profile.where("block IS NULL").select("doc_id", "cls", "n_shingles")
     nodes = own.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
     emitted = written(_emitted(docs.where("doc_id IS NOT NULL"), _frequent(profile)), "signatures")
-    lists = _lists(emitted.where("single")).unionByName(
-        emitted.where("NOT single").select(F.col("key").cast("string").cast("binary").alias("list"), "cls").distinct()
-    )
-    lists = written(lists.join(nodes, "cls").select("list", "id", "n"), "lists")
-
-    low = lists.groupBy("list").agg(F.min("id").alias("hub"))
-    first = lists.join(low, "list").where("id > hub").groupBy("id").agg(F.min("hub").alias("hub"))
+    combined = emitted.where("NOT single").select(F.col("key").cast("string").cast("binary").alias("list"), "cls").distinct()
+    impure = combined.select("cls").distinct().withColumn("pure", F.lit(False))
+    members = nodes.join(impure, "cls", "left").fillna(True, ["pure"])
+    lists = _lists(emitted.where("single")).unionByName(combined.withColumn("weight", F.lit(1).cast("long")))
+    lists = written(lists.join(members, "cls").select("list", "id", "n", "pure", "weight"), "lists")
+
+    low = lists.groupBy("list").agg(F.min(F.struct("id", "n", "pure")).alias("hub"))
+    stars = lists.join(low, "list").where("id > hub.id").groupBy("id", "n", "pure", "hub").agg(F.sum("weight").alias("weight"))
+    stars = stars.where(_possible("n", "hub.n", "weight", "(pure AND hub.pure)"))
+    first = written(stars.groupBy("id").agg(F.max_by("hub.id", F.struct("weight", -F.col("hub.id"))).alias("hub")), "first")
     links = written(verified(docs, first), "links")
     label = components(links)
 
@@ -301,9 +320,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     open_lists = known.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
     rest = written(known.join(open_lists, "list"), "open")
     x, y = rest.alias("x"), rest.alias("y")
-    similar_size = F.expr("5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
-    pairs = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.component") < F.col("y.component")) & similar_size)
-    pairs = pairs.select(F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id")).distinct().join(first.select("hub", "id"), ["hub", "id"], "left_anti")
+    met = x.join(y, F.expr("x.list = y.list AND x.component < y.component AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"))
+    met = met.select(
+        F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id"), F.least("x.n", "y.n").alias("n"), F.greatest("x.n", "y.n").alias("m"),
+        F.expr("x.pure AND y.pure").alias("pure"), "x.weight",
+    )
+    pairs = met.groupBy("hub", "id", "n", "m", "pure").agg(F.sum("weight").alias("weight")).where(_possible("n", "m", "weight", "pure"))
+    pairs = written(pairs.select("hub", "id").join(first, ["hub", "id"], "left_anti"), "pairs")
     more = written(verified(docs, pairs), "links")
 
     # rows that repeat an identifier with another set are linked by it
