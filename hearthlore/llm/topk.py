@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 #: Vectors of a block, queries of a block, survivors that are resolved without further reading.
-BLOCK, QUERY_BLOCK, RESOLVE = 4096, 1024, 64
+BLOCK, QUERY_BLOCK, RESOLVE = 4096, 256, 64
 
 
 def _packed(vectors: DataFrame, rows: int) -> DataFrame:
@@ -70,28 +70,38 @@ class Lists:
         np.put_along_axis(self.rank, order, np.arange(len(self.ids), dtype=np.int32)[:, None], 0)
         self.real = self.x.astype(np.float64)
 
-    def search(self, q: np.ndarray, own_id: int, k: int, floor: float) -> list[tuple[int, int]]:
-        """``(-score, id)`` of vectors that may be among the k best, given the k-th best score elsewhere."""
+    def search(self, q: np.ndarray, own_ids: np.ndarray, k: int, floors: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each query, ``(-score, id)`` of vectors that may be among its k best, given its k-th best score elsewhere.
+
+        The lists are read to the same depth for all queries, so that one matrix of what has
+        been read from the high ends, and one from the low ends, serve all of them.
+        """
         n, dim = self.x.shape
-        use = np.flatnonzero(q)
-        w, up = q[use].astype(np.float64), q[use] > 0
-        lists, rank, real = self.sorted[:, use], self.rank[:, use], self.real[:, use]
-        worst = w * np.where(up, lists[0], lists[-1])
-        if (w * np.where(up, lists[-1], lists[0])).sum() < floor:
-            return []
-        live, depth = np.flatnonzero(self.ids != own_id), max(1, n // 16)
-        while len(live) > max(k, RESOLVE) and depth < n:
-            r = rank[live]
-            seen = np.where(up, r >= n - depth, r < depth)
-            known = (real[live] * seen) @ w
-            frontier = w * np.where(up, lists[n - depth], lists[depth - 1])
-            low, high = known + ~seen @ worst, known + ~seen @ frontier
-            bar = max(floor, np.partition(low, len(low) - k)[len(low) - k])
-            live = live[high >= bar]
+        w, up, down = q.astype(np.float64), q > 0, q < 0
+        worst = w * np.where(up, self.sorted[0], self.sorted[-1])
+        best = (w * np.where(up, self.sorted[-1], self.sorted[0])).sum(1)
+        live = (self.ids[:, None] != own_ids[None, :]) & (best >= floors)[None, :]
+        depth = max(1, n // 8)
+        while depth < n and n > k and (asked := np.flatnonzero(live.sum(0) > max(k, RESOLVE))).size:
+            high_end, low_end = (self.rank >= n - depth).astype(np.float64), (self.rank < depth).astype(np.float64)
+            frontier = w[asked] * np.where(up[asked], self.sorted[n - depth], self.sorted[depth - 1])
+
+            def read(values: np.ndarray, u: np.ndarray = high_end, v: np.ndarray = low_end, on: np.ndarray = asked) -> np.ndarray:
+                return u @ (values * up[on]).T + v @ (values * down[on]).T
+
+            known = (self.real * high_end) @ (w[asked] * up[asked]).T + (self.real * low_end) @ (w[asked] * down[asked]).T
+            low = known + worst[asked].sum(1) - read(worst[asked])
+            low[self.ids[:, None] == own_ids[None, asked]] = -np.inf
+            bar = np.maximum(floors[asked], np.partition(low, n - k, 0)[n - k])
+            live[:, asked] &= known + frontier.sum(1) - read(frontier) >= bar
             depth *= 2
-        scores = self.x[live] @ q
-        best = sorted(zip((-scores).tolist(), self.ids[live].tolist()))
-        return best[:k]
+        exact = dim * float(np.abs(self.real).max(initial=0)) * float(np.abs(w).max(initial=0)) < 1 << 53
+        out = []
+        for j in range(len(q)):
+            left = np.flatnonzero(live[:, j])
+            scores = (self.real[left] @ w[j]).astype(np.int64) if exact else self.x[left] @ q[j]
+            out.append(sorted(zip((-scores).tolist(), self.ids[left].tolist()))[:k])
+        return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -101,7 +111,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     as_rows = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     valid = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     asked = as_rows(rows.where(is_query)).where(valid).groupBy("i").agg(F.min("v").alias("v"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a task sees several blocks, so that what it has found already cuts later ones short
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // (4 * BLOCK)))
     queries = _packed(asked, QUERY_BLOCK).withColumn("block", F.monotonically_increasing_id())
     from .common import written
 
@@ -130,10 +141,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             if at != (block, salt):
                 raise AssertionError("a vector block without its query block")
             lists = Lists(ids, data, dim)
-            for j, own in enumerate(q_ids.tolist()):
-                floor = -best[j][-1][0] if len(best[j]) == k else float("-inf")
-                if more := lists.search(q[j], own, k, floor):
-                    best[j] = sorted(best[j] + more)[:k]
+            floors = np.array([-t[-1][0] if len(t) == k else -np.inf for t in best])
+            best = [sorted(old + new)[:k] for old, new in zip(best, lists.search(q, q_ids, k, floors))]
         if q is not None:
             yield from out()
 
