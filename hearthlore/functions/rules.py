@@ -53,7 +53,8 @@ OCCUPATIONS = (
 KNOWN_PLACES = ["britain", "cove", "jhelom", "minoc", "moonglow", "serpent isle", "skara brae", "trinsic", "vesper", "yew"]
 NOBODY = ["no", "nobody", "nothing", "anyone"]
 SAFE_FIRST_WORDS = "a an the well fine sorry glad happy from in at here there".split()
-PREFERRED_MODELS = [f"model/{n}.pt" for n in ("npcmicro13m_sft", "v9_base_finetune", "v9_grounded", "best_balanced", "best_phase3", "final")]
+# A release's own file name goes before these; it is a parameter of the selection.
+PREFERRED_MODELS = [f"model/{n}.pt" for n in ("v9_base_finetune", "v9_grounded", "best_balanced", "best_phase3", "final")]
 TOKENIZER_PATH = "tokenizer/tokenizer.json"
 
 SOCIAL = [
