@@ -238,7 +238,7 @@ def _bigrams(sent: DataFrame, unigrams: Unigrams) -> DataFrame:
     An answer has the counts of the block's bigrams, and for its contexts the total, the numbers
     of followers with counts 1 to K, and their unigram mass.
     """
-    schema = f"kind string, p long, bucket int, a binary, b binary, {STATS}"
+    schema = f"kind string, p long, bucket int, a binary, b binary, m binary, {STATS}"
     arrow = arrow_schema(sent.sparkSession, schema)
 
     def add(group: pa.Table) -> pa.Table:
@@ -259,14 +259,15 @@ def _bigrams(sent: DataFrame, unigrams: Unigrams) -> DataFrame:
         total = per(seen, c2[seen])
         by = np.stack([per(c2 == r, None) for r in range(1, K + 1)], 1)
         mass = per(seen, unigrams(np.concatenate(of_word)[first])[seen])
-        facts = np.column_stack([total, by, mass])
+        facts = np.column_stack([total, by]).astype(np.int64)
         out, pos = [], 0
         for r, own, c in zip(rows, pairs, contexts):
             n = len(own)
-            out.append(("R", r["p"], k, squeeze(c2[inv[pos : pos + n]]), squeeze(facts[np.searchsorted(owner, c)].reshape(-1)), *[None] * (K + 3)))
+            own = np.searchsorted(owner, c)
+            out.append(("R", r["p"], k, squeeze(c2[inv[pos : pos + n]]), squeeze(facts[own].T.reshape(-1)), squeeze(mass[own]), *[None] * (K + 3)))
             pos += n
-        out.append(("B", None, k, squeeze(np.diff(table[seen], prepend=0)), squeeze(c2[seen]), *[None] * (K + 3)))
-        out.append(("S", None, k, None, None, *_stats(c2)))
+        out.append(("B", None, k, squeeze(np.diff(table[seen], prepend=0)), squeeze(c2[seen]), None, *[None] * (K + 3)))
+        out.append(("S", None, k, None, None, None, *_stats(c2)))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), arrow.types)], schema=arrow)
 
     return sent.groupBy("bucket").applyInArrow(add, schema)
@@ -286,7 +287,9 @@ def _scored(blocks_: DataFrame, answers: DataFrame, unigrams: Unigrams, bigrams:
         c2, facts = np.zeros(len(b.pairs), np.int64), np.zeros((len(b.contexts), K + 2))
         for k, r in replies.items():
             c2[pair_bucket == k] = expand(r["a"])
-            facts[b.bucket == k] = expand(r["b"]).reshape(-1, K + 2)
+            own = b.bucket == k
+            facts[own, : K + 1] = expand(r["b"]).reshape(K + 1, -1).T
+            facts[own, K + 1] = expand(r["m"])
         over, left_mass = bigrams.totals(facts[:, 0], facts[:, 1 : K + 1])
         trained = facts[:, 0] > 0
         alpha = np.where(trained, left_mass / (1 - facts[:, K + 1]), 1.0)
@@ -327,7 +330,7 @@ def score(docs: DataFrame, held_out: Column, buckets: int | None = None, id_col:
     answers = words("R").select("p", "bucket", "a", "b")
     second = kept(_bigrams(_sent_bigrams(texts, answers, unigrams, buckets), unigrams), "katz-bigrams")
     bigrams = Discounts(total(second("S")))
-    both = answers.withColumn("kind", F.lit("W")).unionByName(second("R").select("p", "bucket", "a", "b", "kind"))
+    both = answers.withColumns({"m": F.lit(None).cast("binary"), "kind": F.lit("W")}).unionByName(second("R").select("p", "bucket", "a", "b", "m", "kind"))
     return _scored(texts, both, unigrams, bigrams, buckets)
 
 
