@@ -20,10 +20,12 @@ frequent; the order stays the same for all documents, so results don't depend on
 shingle's list is therefore bounded, and a frequent one is only met in combinations.
 
 Equal sets are one class (size and a 96-bit hash), which each task emits once. Lists with the
-same members are one list, with a weight. In each list the smallest document is the hub; each
-document is first verified against the hub with which it shares most. Then only documents of
-different components are verified against each other, where their sizes and the number of
-signatures that they share leave a link possible. Verification compares the sets of
+same members are one list, with a weight. In each list the document that meets most others is
+the hub; each document is verified against the hub with which it shares most, then against
+those hubs from which it is still apart, and once more with new hubs among those that a list's
+hub has not reached. Then only documents of different components are verified against
+each other. All this only where sizes and the number of shared signatures leave a link
+possible. Verification compares the sets of
 whole texts: hubs are salted, and members stream past their hub.
 
 Defined results: null and empty texts and texts without words have 0 shingles and are their
@@ -254,14 +256,16 @@ def _lists(singles: DataFrame) -> DataFrame:
     return lists.select("list", F.explode("members").alias("cls"), "weight")
 
 
-def _possible(n: str, m: str, weight: str, both_pure: str) -> str:
-    """SQL: whether sets of ``n`` and ``m`` shingles that share so many single signatures can be linked.
+def _possible(n: str, m: str, weight: str) -> str:
+    """SQL: whether sets of ``n`` and ``m`` shingles that share so many signatures can be linked.
 
-    If both prefixes are rare shingles alone, what the sets share is at most the shared part
-    of the prefixes and what lies behind them.
+    Take the set whose prefix ends first. Each of its shingles that the other lacks costs one
+    of the p units that its prefix has (a rare shingle, or one member of a sub-class beyond the
+    first); what remains is shared, and k shared members of a sub-class are at least k - 1
+    shared signatures. So signatures and shingles behind the prefix reach the needed overlap.
     """
     behind = f"greatest({n} - {n} div 5, {m} - {m} div 5) - 1"
-    return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) AND (NOT {both_pure} OR 9 * ({weight} + {behind}) >= 4 * ({n} + {m}))"
+    return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) AND 9 * ({weight} + {behind}) >= 4 * ({n} + {m})"
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
@@ -304,17 +308,38 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     nodes = own.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
     emitted = written(_emitted(docs.where("doc_id IS NOT NULL"), _frequent(profile)), "signatures")
     combined = emitted.where("NOT single").select(F.col("key").cast("string").cast("binary").alias("list"), "cls").distinct()
-    impure = combined.select("cls").distinct().withColumn("pure", F.lit(False))
-    members = nodes.join(impure, "cls", "left").fillna(True, ["pure"])
     lists = _lists(emitted.where("single")).unionByName(combined.withColumn("weight", F.lit(1).cast("long")))
-    lists = written(lists.join(members, "cls").select("list", "id", "n", "pure", "weight"), "lists")
+    lists = written(lists.join(nodes, "cls").select("list", "id", "n", "weight"), "lists")
 
-    low = lists.groupBy("list").agg(F.min(F.struct("id", "n", "pure")).alias("hub"))
-    stars = lists.join(low, "list").where("id > hub.id").groupBy("id", "n", "pure", "hub").agg(F.sum("weight").alias("weight"))
-    stars = stars.where(_possible("n", "hub.n", "weight", "(pure AND hub.pure)"))
-    first = written(stars.groupBy("id").agg(F.max_by("hub.id", F.struct("weight", -F.col("hub.id"))).alias("hub")), "first")
+    # the document that meets most others is the likeliest middle of a group
+    sizes = lists.groupBy("list").agg(F.count("*").alias("m"))
+    met_by = lists.join(sizes, "list").groupBy("id").agg(F.sum(F.expr("(m - 1) * weight")).alias("met"))
+    lists = written(lists.join(met_by, "id"), "lists")
+    middle = F.max_by(F.struct("id", "n"), F.struct("met", -F.col("id"))).alias("hub")
+
+    def stars_of(members: DataFrame) -> DataFrame:
+        pairs = members.join(members.groupBy("list").agg(middle), "list").where("id <> hub.id").groupBy("id", "n", "hub").agg(F.sum("weight").alias("weight"))
+        return pairs.where(_possible("n", "hub.n", "weight")).select("id", F.col("hub.id").alias("hub"), "weight")
+
+    def still_apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+        return pairs.join(of("id"), "id", "left").join(of("hub"), "hub", "left").where("coalesce(of_id, id) <> coalesce(of_hub, hub)").select("hub", "id")
+
+    stars = written(stars_of(lists), "stars")
+    first = stars.groupBy("id").agg(F.max_by("hub", F.struct("weight", -F.col("hub"))).alias("hub"))
     links = written(verified(docs, first), "links")
-    label = components(links)
+    label = written(components(links), "labels")
+    links = links.unionByName(written(verified(docs, still_apart(stars, label)), "links"))
+    label = written(components(links), "labels")
+
+    # once more for those of each list that its middle has not reached
+    known = lists.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    reached = known.groupBy("list").agg(F.max_by("component", F.struct("met", -F.col("id"))).alias("reached"))
+    others = written(known.join(reached, "list").where("component <> reached").select("list", "id", "n", "weight", "met"), "others")
+    again = written(still_apart(stars_of(others), label), "stars")
+    links = links.unionByName(written(verified(docs, again), "links"))
+    label = written(components(links), "labels")
+    tried = stars.select("hub", "id").unionByName(again).select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")).distinct()
 
     known = lists.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_lists = known.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
@@ -322,11 +347,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     x, y = rest.alias("x"), rest.alias("y")
     met = x.join(y, F.expr("x.list = y.list AND x.component < y.component AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"))
     met = met.select(
-        F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id"), F.least("x.n", "y.n").alias("n"), F.greatest("x.n", "y.n").alias("m"),
-        F.expr("x.pure AND y.pure").alias("pure"), "x.weight",
+        F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id"), F.least("x.n", "y.n").alias("n"), F.greatest("x.n", "y.n").alias("m"), "x.weight",
     )
-    pairs = met.groupBy("hub", "id", "n", "m", "pure").agg(F.sum("weight").alias("weight")).where(_possible("n", "m", "weight", "pure"))
-    pairs = written(pairs.select("hub", "id").join(first, ["hub", "id"], "left_anti"), "pairs")
+    pairs = met.groupBy("hub", "id", "n", "m").agg(F.sum("weight").alias("weight")).where(_possible("n", "m", "weight"))
+    pairs = written(pairs.select("hub", "id").join(tried, ["hub", "id"], "left_anti"), "pairs")
     more = written(verified(docs, pairs), "links")
 
     # rows that repeat an identifier with another set are linked by it
