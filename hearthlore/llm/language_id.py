@@ -1,7 +1,9 @@
 """Operator 1: language identification by compression.
 
-A text is compressed once with each language's raw-content zstandard dictionary; the
-language whose dictionary gives the smallest output is chosen. Texts are compared by their
+A text is compressed with each language's raw-content zstandard dictionary, in pieces of
+CHUNK bytes; the language whose dictionary gives the smallest output in all is chosen. A
+dictionary only helps near a stream's start, so each piece is a stream of its own, and the
+margin doesn't shrink as a text grows. Texts are compared by their
 lower-cased letters, so that markup, digits and junk symbols don't decide. A relative
 margin below ``min_margin`` between the best and the second language rejects the decision
 (column ``rejected``); the best guess is reported all the same.
@@ -29,7 +31,11 @@ from .common import ARROW_ROWS, map_rows, texts_of
 
 #: The bounds of the training sample, for each language.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 600, 1 << 16
-LEVEL, MIN_MARGIN = 6, 0.001
+#: Bytes of letters that are one stream.
+CHUNK = 4096
+#: The least margin. Of the training folds of sf0.1, 2 of 7,977 rightly labelled texts of at least 30 bytes
+#: of letters are below it, and of 300 texts of random letters none of 100 words and 83 of 20 words are above it.
+LEVEL, MIN_MARGIN = 6, 0.02
 _letters = re.compile(r"[^\W\d_]+").findall
 
 
@@ -73,7 +79,8 @@ class Decider:
         own = letters_of(text)
         if not own or not self.coders:
             return "und", 0.0, True
-        sizes = sorted((len(c.compress(own)), k, lang) for k, lang, c in self.coders)
+        chunks = [own[at : at + CHUNK] for at in range(0, len(own), CHUNK)]
+        sizes = sorted((sum(len(c.compress(x)) for x in chunks), k, lang) for k, lang, c in self.coders)
         score = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
         return sizes[0][2], score, score < self.min_margin
 
