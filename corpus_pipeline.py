@@ -6,7 +6,8 @@ smallest identifier), personal data is replaced by its kind in brackets, and the
 packed into windows of 2048 identifiers. All but the last return the columns of documents.
 
 Defined results: null texts are rejected by the first stage; repeated rows of one identifier
-are near duplicates of each other, one stays; an empty table gives no rows.
+are near duplicates of each other, one stays; rows without an identifier are linked with
+nothing and all stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked documents."""
+    """One document of each component of linked documents, and all without an identifier."""
     found = common.written(ngram_join.join(docs), "components")
     kept = found.where("doc_id = component_id").select("doc_id")
     n, distinct = kept.agg(F.count("*"), F.countDistinct("doc_id")).collect()[0]
     kept = kept.distinct()
     out = docs.join(F.broadcast(kept) if distinct <= ngram_join.ROUTES else kept, "doc_id", "left_semi")
-    return out.dropDuplicates(["doc_id"]) if n > distinct else out
+    out = out.dropDuplicates(["doc_id"]) if n > distinct else out
+    return out.unionByName(docs.where("doc_id IS NULL"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

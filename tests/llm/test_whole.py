@@ -2,7 +2,10 @@
 
 import random
 
-from hearthlore.llm import language_id
+import pytest
+from conftest import EDGES, SF
+
+from hearthlore.llm import common, language_id
 
 
 def test_margin_at_any_length(spark, docs):
@@ -16,3 +19,19 @@ def test_margin_at_any_length(spark, docs):
     for lang, text in texts:
         found, margin, rejected = decide(text)
         assert rejected == (lang is None) and lang in (None, found), (lang, found, margin, len(text))
+
+
+def test_rows_without_identifier_stay(spark, docs):
+    pytest.importorskip("public_tokenizers")
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    clean = docs.where("lang = 'en' AND n_chars > 500").orderBy("doc_id").limit(5).collect()
+    rows = [(i, t, "en", "x", 1) for i, t in EDGES] + [(None, r.text, "en", "x", 1) for r in clean for _ in range(2)]
+    now = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = common.written(stage(spark, now, SF), name)
+        assert now.where("doc_id IS NULL AND length(text) > 400").count() == 10, name
+        if name == "ngram_join":
+            assert now.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").count() == 0
+    name, stage = corpus_pipeline.STAGES[-1]
+    unidentified = now.where("doc_id IS NULL")
+    assert stage(spark, now, SF).where("doc_id IS NULL").agg({"length": "sum"}).collect() == stage(spark, unidentified, SF).agg({"length": "sum"}).collect()
