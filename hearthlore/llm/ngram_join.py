@@ -354,8 +354,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     more = written(verified(docs, pairs), "links")
 
     # rows that repeat an identifier with another set are linked by it
-    by_id = own.where("n_shingles > 0").join(nodes, "cls").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a < b").groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("c")).where("a < c")
-    label = components(links.unionByName(more).unionByName(by_id.select("a", F.col("c").alias("b"))))
+    by_id = own.where("n_shingles > 0").join(nodes, "cls").select(F.col("doc_id").alias("i"), F.col("id").alias("b"))
+    several = by_id.groupBy("i").agg(F.min("b").alias("a"), F.max("b").alias("c")).where("a < c").select("i", "a")
+    by_id = by_id.join(several, "i").where("a < b").select("a", "b").distinct()
+    label = components(links.unionByName(more).unionByName(by_id))
     final = nodes.select("cls", "id").join(label, "id", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
     out = own.join(final, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out

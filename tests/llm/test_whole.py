@@ -4,8 +4,9 @@ import random
 
 import pytest
 from conftest import EDGES, SF
+from test_ngram_join import KEY, brute
 
-from hearthlore.llm import common, language_id
+from hearthlore.llm import common, language_id, ngram_join
 
 
 def test_margin_at_any_length(spark, docs):
@@ -35,3 +36,12 @@ def test_rows_without_identifier_stay(spark, docs):
     name, stage = corpus_pipeline.STAGES[-1]
     unidentified = now.where("doc_id IS NULL")
     assert stage(spark, now, SF).where("doc_id IS NULL").agg({"length": "sum"}).collect() == stage(spark, unidentified, SF).agg({"length": "sum"}).collect()
+
+
+def test_repeated_identifiers_link_all_their_texts(spark):
+    x, y, z, u, v = (" ".join(f"{c}{k}" for k in range(12)) for c in "xyzuv")
+    rows = [(1, x), (2, y), (3, z), (9, x), (9, y), (9, z), (13, u), (15, u), (15, v)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.join(frame).collect()), key=KEY)
+    assert got == sorted(brute(rows), key=KEY)
+    assert {i: c for i, _, c in got} == {1: 1, 2: 1, 3: 1, 9: 1, 13: 13, 15: 13}
