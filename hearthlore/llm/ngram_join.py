@@ -11,8 +11,10 @@ Shingles are ordered rare class first, then frequent class, by hash within a cla
   reach p. A linked document that shared no signature would lack p of these shingles.
 
 The number of sub-classes follows from a size class (powers of 4), and a document that may
-be linked to one of the next size class gives that class's signatures too. Sets below 8
-shingles use single shingles in hash order.
+be linked to one of the next size class gives that class's signatures too. Of two linked
+sets below 8 shingles that aren't equal, the larger is the smaller one and one more shingle
+(4 to 6 and 5 to 7): the smaller gives its hash, the larger its hash without each shingle, and
+equal hashes are pairs to verify, at most 7 a set, however many sets share a shingle.
 
 Classes come from counts of all documents' shingles in SKETCH counters of fixed size; a
 shingle is frequent if its counter is well above the mean. Collisions only make shingles
@@ -55,6 +57,8 @@ SKETCH, SKETCH_BLOCK = 1 << 24, 1 << 14
 LEAST = 8
 #: Sets that a task remembers as emitted, members that share one copy of their hub, routes that are broadcast.
 SEEN, MEMBERS, ROUTES = 200_000, 256, 1_000_000
+#: Kinds of signatures that are emitted.
+SINGLE, COMBINED, WHOLE, LESS_ONE = range(4)
 _U = np.uint64
 
 
@@ -70,16 +74,21 @@ def _size_class(n: int) -> int:
     return k
 
 
-def signatures(own: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set's single and combined signatures; ``frequent`` has a flag for each counter of the sketch."""
+def signatures(own: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A set's single, combined and short signatures; ``frequent`` has a flag for each counter of the sketch.
+
+    Short ones, of sets below 8 shingles, are the whole set's hash and those of the set without each shingle.
+    """
     n = len(own)
     if not n:
-        return own, own
+        return own, own, own
     p = n // 5 + 1
     kinds = {_size_class(n), _size_class(n * 5 // 4)}
-    single, combined = [], []
+    single, combined, short = [], [], []
     if 0 in kinds:
-        single.append(mix(own[:p] ^ _U(0x5851F42D4C957F2D)))
+        mixed = mix(own ^ _U(0x5851F42D4C957F2D))
+        whole = mixed.sum(keepdims=True)
+        short += [mix(whole + _U(n)), mix(whole - mixed + _U(n - 1))]
     if kinds - {0}:
         often = frequent[(own & _U(SKETCH - 1)).astype(np.int64)]
         rare = own[~often][:p]
@@ -89,7 +98,7 @@ def signatures(own: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.nd
             for kind in sorted(kinds - {0}):
                 combined.append(_combinations(common, p - len(rare), kind))
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
-    return join(single), join(combined)
+    return join(single), join(combined), join(short)
 
 
 def _combinations(common: np.ndarray, need: int, kind: int) -> np.ndarray:
@@ -178,18 +187,18 @@ def _frequent(profile: DataFrame) -> np.ndarray:
 
 
 def _emitted(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``key, cls, single`` of all signatures; a task emits a class once."""
-    schema = "key long, cls binary, single boolean"
+    """``key, cls, kind`` of all signatures; a task emits a class once. Kinds are the constants above."""
+    schema = "key long, cls binary, kind int"
     arrow = arrow_schema(docs.sparkSession, schema)
     flags = zlib.compress(np.packbits(frequent).tobytes())
 
-    def batch(held: list[tuple[np.ndarray, bytes, bool]]) -> pa.RecordBatch:
+    def batch(held: list[tuple[np.ndarray, bytes, int]]) -> pa.RecordBatch:
         keys = np.concatenate([k for k, _, _ in held]).view(np.int64)
         sizes = [len(k) for k, _, _ in held]
         cls = np.repeat(np.array([np.frombuffer(c, np.uint8) for _, c, _ in held]), sizes, 0)
         ends = pa.py_buffer(np.arange(0, 16 * len(keys) + 1, 16, dtype=np.int32).tobytes())
         one = pa.Array.from_buffers(pa.binary(), len(keys), [None, ends, pa.py_buffer(cls.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(keys), one, pa.array(np.repeat([s for _, _, s in held], sizes))], schema=arrow)
+        return pa.RecordBatch.from_arrays([pa.array(keys), one, pa.array(np.repeat([s for _, _, s in held], sizes), pa.int32())], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(np.frombuffer(zlib.decompress(flags), np.uint8)).astype(bool)
@@ -202,9 +211,11 @@ def _emitted(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(cls)
-            for keys, single in zip(signatures(own, often), (True, False)):
+            single, combined, short = signatures(own, often)
+            n = len(own)
+            for keys, kind in ((single, SINGLE), (combined, COMBINED), (short[: 4 <= n < 7], WHOLE), (short[1:] if n > 4 else short[:0], LESS_ONE)):
                 if len(keys):
-                    held.append((keys, cls, single))
+                    held.append((keys, cls, kind))
                     size += len(keys)
             if size >= 50_000:
                 yield batch(held)
@@ -307,8 +318,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     own = profile.where("block IS NULL").select("doc_id", "cls", "n_shingles")
     nodes = own.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
     emitted = written(_emitted(docs.where("doc_id IS NOT NULL"), _frequent(profile)), "signatures")
-    combined = emitted.where("NOT single").select(F.col("key").cast("string").cast("binary").alias("list"), "cls").distinct()
-    lists = _lists(emitted.where("single")).unionByName(combined.withColumn("weight", F.lit(1).cast("long")))
+    combined = emitted.where(F.col("kind") == COMBINED).select(F.col("key").cast("string").cast("binary").alias("list"), "cls").distinct()
+    lists = _lists(emitted.where(F.col("kind") == SINGLE)).unionByName(combined.withColumn("weight", F.lit(1).cast("long")))
     lists = written(lists.join(nodes, "cls").select("list", "id", "n", "weight"), "lists")
 
     # the document that meets most others is the likeliest middle of a group
@@ -327,7 +338,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     stars = written(stars_of(lists), "stars")
     first = stars.groupBy("id").agg(F.max_by("hub", F.struct("weight", -F.col("hub"))).alias("hub"))
-    links = written(verified(docs, first), "links")
+    of_kind = lambda kind, name: emitted.where(F.col("kind") == kind).join(nodes, "cls").select("key", F.col("id").alias(name))
+    short = of_kind(WHOLE, "hub").join(of_kind(LESS_ONE, "id"), "key").select("id", "hub").distinct()
+    links = written(verified(docs, first.unionByName(short).distinct()), "links")
     label = written(components(links), "labels")
     links = links.unionByName(written(verified(docs, still_apart(stars, label)), "links"))
     label = written(components(links), "labels")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest import EDGES, SF
 from test_ngram_join import KEY, brute
@@ -45,3 +46,22 @@ def test_repeated_identifiers_link_all_their_texts(spark):
     got = sorted(map(tuple, ngram_join.join(frame).collect()), key=KEY)
     assert got == sorted(brute(rows), key=KEY)
     assert {i: c for i, _, c in got} == {1: 1, 2: 1, 3: 1, 9: 1, 13: 13, 15: 13}
+
+
+def test_short_texts_that_share_shingles(spark):
+    words = [f"c{k}" for k in range(10)]
+    sizes = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    rows = [(100 * n + k, " ".join(words[:n] + [f"x{n}y{k}"] * (k > 0))) for n in sizes for k in range(6)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=KEY) == sorted(brute(rows), key=KEY)
+
+
+def test_short_sets_give_no_single_signatures():
+    # many different sets of 5 and 6 that share a shingle: no list gathers them by it
+    rng, shared = np.random.default_rng(3), np.uint64(0)
+    sets = [np.unique(np.append(rng.integers(1, 1 << 64, n - 1, dtype=np.uint64), shared)) for n in (5, 6) for _ in range(500)]
+    flags = np.ones(ngram_join.SKETCH, bool)
+    found = [ngram_join.signatures(x, flags) for x in sets]
+    assert not any(len(f[0]) for f in found)
+    keys = np.concatenate([k for f in found for k in f])
+    assert len(np.unique(keys)) == len(keys)
