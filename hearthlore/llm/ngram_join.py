@@ -2,13 +2,20 @@
 
 Signatures are token-combination prefixes. A document of n shingles shares at least
 ceil(0.8 n) with any linked one, so it can miss at most p - 1 of its own, p = n//5 + 1.
-Shingles are ordered rare class first, then frequent class, by hash within a class:
+Shingles are ordered by level, then by hash; level 0 are the rare ones:
 
 * p rare ones: they are the signatures, single shingles;
-* else all rare ones are, and the prefix is extended into the frequent class, whose shingles
+* else all rare ones are, and the prefix is extended into the levels above, whose shingles
   are dealt by hash into sub-classes; any two shingles of one sub-class inside the prefix are
   a signature. The prefix ends where rare ones plus, over the sub-classes, members less one
-  reach p. A linked document that shared no signature would lack p of these shingles.
+  reach p units. A linked document that shared no signature would lack p of these shingles.
+
+A signature carries the unit at which the prefix completes it. Two documents of n and m
+shingles need an overlap of a = ceil(4 (n + m) / 9), so the prefixes that end at n - a + 1 and
+m - a + 1 units share a signature already (the same proof, for the one that ends first): a
+pair meets only in a signature that is early enough for both sizes. Sets of like size that
+have a ninth of their own shingles or more, and so can't be linked, don't meet in a passage
+that they share, however many they are, as what is frequent comes last.
 
 The number of sub-classes follows from a size class (powers of 4), and a document that may
 be linked to one of the next size class gives that class's signatures too. Of two linked
@@ -16,31 +23,30 @@ sets below 8 shingles that aren't equal, the larger is the smaller one and one m
 (4 to 6 and 5 to 7): the smaller gives its hash, the larger its hash without each shingle, and
 equal hashes are pairs to verify, at most 7 a set, however many sets share a shingle.
 
-Classes come from counts of all documents' shingles in SKETCH counters of fixed size; a
-shingle is frequent if its counter is well above the mean. Collisions only make shingles
-frequent; the order stays the same for all documents, so results don't depend on it. A rare
-shingle's list is therefore bounded, and a frequent one is only met in combinations.
+Levels come from counts of all documents' shingles in SKETCH counters of fixed size: 0 up to
+well above the mean, then one more for each doubling. Collisions only raise a level; the
+order is the same for all documents, so results don't depend on it. As data grows, what
+the counters tell apart is what stands out from their load; lists are streamed in chunks of
+CHUNK members, so none is gathered whatever its length.
 
 Equal sets are one class (size and a 96-bit hash), which each task emits once. Lists with the
 same members are one list, with a weight. In each list the document that meets most others is
-the hub; each document is verified against the hub with which it shares most, then against
-those hubs from which it is still apart, and once more with new hubs among those that a list's
-hub has not reached. Then only documents of different components are verified against
-each other. All this only where sizes and the number of shared signatures leave a link
-possible. Verification compares the sets of
-whole texts: hubs are salted, and members stream past their hub.
+the hub, and each document is verified against the hub with which it shares most. Then what is
+left in a list outside its largest component meets the list's documents of other components,
+by early enough signatures alone, and these pairs are verified. Verification compares the sets of whole texts: hubs are salted, and
+members stream past their hub.
 
 Defined results: null and empty texts and texts without words have 0 shingles and are their
 own component; fewer words than five are one shingle; repeated rows are reported each; rows
 of one identifier count as linked; a null identifier has component null; an empty table
 gives no rows; other columns are ignored.
 """
-
 from __future__ import annotations
 
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +59,10 @@ from .words import blocks, mix, shingle_sets
 
 #: Counters of the sketch, and of one block that travels.
 SKETCH, SKETCH_BLOCK = 1 << 24, 1 << 14
-#: A counter that is above the mean by four deviations and this many is frequent.
-LEAST = 8
-#: Sets that a task remembers as emitted, members that share one copy of their hub, routes that are broadcast.
-SEEN, MEMBERS, ROUTES = 200_000, 256, 1_000_000
+#: A counter up to the mean, four deviations and this many is of level 0; the highest level.
+LEAST, TOP = 8, 15
+#: Sets that a task remembers as emitted, members of a list in one row, members that share one copy of their hub, routes that are broadcast.
+SEEN, CHUNK, MEMBERS, ROUTES = 200_000, 1024, 256, 1_000_000
 #: Kinds of signatures that are emitted.
 SINGLE, COMBINED, WHOLE, LESS_ONE = range(4)
 _U = np.uint64
@@ -74,34 +80,37 @@ def _size_class(n: int) -> int:
     return k
 
 
-def signatures(own: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A set's single, combined and short signatures; ``frequent`` has a flag for each counter of the sketch.
+Signed = tuple[np.ndarray, np.ndarray]
+
+
+def signatures(own: np.ndarray, level: np.ndarray) -> tuple[Signed, Signed, np.ndarray]:
+    """A set's single and combined signatures with their units, and its short ones; ``level`` has a level for each counter of the sketch.
 
     Short ones, of sets below 8 shingles, are the whole set's hash and those of the set without each shingle.
     """
     n = len(own)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
     if not n:
-        return own, own, own
+        return none, none, none[0]
     p = n // 5 + 1
     kinds = {_size_class(n), _size_class(n * 5 // 4)}
-    single, combined, short = [], [], []
+    single, combined, short = none, [none], none[0]
     if 0 in kinds:
         mixed = mix(own ^ _U(0x5851F42D4C957F2D))
         whole = mixed.sum(keepdims=True)
-        short += [mix(whole + _U(n)), mix(whole - mixed + _U(n - 1))]
+        short = np.concatenate([mix(whole + _U(n)), mix(whole - mixed + _U(n - 1))])
     if kinds - {0}:
-        often = frequent[(own & _U(SKETCH - 1)).astype(np.int64)]
-        rare = own[~often][:p]
-        single.append(rare)
+        of = level[(own & _U(SKETCH - 1)).astype(np.int64)]
+        rare = own[of == 0][:p]
+        single = rare, np.arange(1, len(rare) + 1, dtype=np.int32)
         if len(rare) < p:
-            common = own[often]
-            for kind in sorted(kinds - {0}):
-                combined.append(_combinations(common, p - len(rare), kind))
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
-    return join(single), join(combined), join(short)
+            above = np.flatnonzero(of)
+            common = own[above[np.argsort(of[above], kind="stable")]]
+            combined += [_combinations(common, len(rare), p - len(rare), kind) for kind in sorted(kinds - {0})]
+    return single, tuple(map(np.concatenate, zip(*combined))), short
 
 
-def _combinations(common: np.ndarray, need: int, kind: int) -> np.ndarray:
+def _combinations(common: np.ndarray, before: int, need: int, kind: int) -> Signed:
     group = (common >> _U(24)) % _U(max(1, 2 * 4 ** (kind - 1)))
     _, firsts = np.unique(group, return_index=True)
     again = np.ones(len(common), bool)
@@ -111,15 +120,16 @@ def _combinations(common: np.ndarray, need: int, kind: int) -> np.ndarray:
         raise AssertionError("a prefix can't be extended far enough")
     end = int(np.searchsorted(reach, need)) + 1
     order = np.argsort(group[:end], kind="stable")
-    g, t = group[:end][order], common[:end][order]
-    out, d = [], 1
+    g, t, unit = group[:end][order], common[:end][order], (before + reach[:end][order]).astype(np.int32)
+    out, units, d = [], [], 1
     while True:
         same = g[d:] == g[:-d]
         if not same.any():
             break
         out.append(mix(mix(t[:-d][same] + _U(kind)) ^ (t[d:][same] * _U(0x9FB21C651E98DF25))))
+        units.append(unit[d:][same])
         d += 1
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(units)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -163,45 +173,49 @@ def _profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _frequent(profile: DataFrame) -> np.ndarray:
-    """Which counters are frequent: SKETCH flags, whatever the input's size."""
+def _levels(profile: DataFrame) -> np.ndarray:
+    """The level of each counter: SKETCH small numbers, whatever the input's size."""
     mean = (profile.agg(F.sum("n_shingles")).collect()[0][0] or 0) / SKETCH
     limit = mean + 4 * mean**0.5 + LEAST
 
-    def flag(rows: Iterator[tuple]) -> Iterator[tuple]:
+    def leveled(total: np.ndarray) -> bytes:
+        own = np.where(total > limit, np.clip(np.ceil(np.log2(np.maximum(total, 1) / limit)), 1, TOP), 0)
+        return zlib.compress(own.astype(np.uint8).tobytes(), 1)
+
+    def add(rows: Iterator[tuple]) -> Iterator[tuple]:
         at, total = None, None
         for block, counts in rows:
             own = np.frombuffer(zlib.decompress(counts), "<u2").astype(np.int64)
             if block != at and total is not None:
-                yield at, np.packbits(total > limit).tobytes()
+                yield at, leveled(total)
                 total = None
             total, at = own if total is None else total + own, block
         if total is not None:
-            yield at, np.packbits(total > limit).tobytes()
+            yield at, leveled(total)
 
     parts = profile.where("block IS NOT NULL").select("block", "counts").repartition("block").sortWithinPartitions("block")
-    out = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), bool)
-    for block, bits in map_rows(parts, "block int, bits binary", flag).collect():
-        out[block] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+    out = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.uint8)
+    for block, own in map_rows(parts, "block int, own binary", add).collect():
+        out[block] = np.frombuffer(zlib.decompress(own), np.uint8)
     return out.reshape(-1)
 
 
-def _emitted(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``key, cls, kind`` of all signatures; a task emits a class once. Kinds are the constants above."""
-    schema = "key long, cls binary, kind int"
+def _emitted(docs: DataFrame, level: np.ndarray) -> DataFrame:
+    """``key, cls, kind, unit`` of all signatures; a task emits a class once. Kinds are the constants above."""
+    schema = "key long, cls binary, kind int, unit int"
     arrow = arrow_schema(docs.sparkSession, schema)
-    flags = zlib.compress(np.packbits(frequent).tobytes())
+    packed = zlib.compress((level[::2] << 4 | level[1::2]).tobytes())
 
-    def batch(held: list[tuple[np.ndarray, bytes, int]]) -> pa.RecordBatch:
-        keys = np.concatenate([k for k, _, _ in held]).view(np.int64)
-        sizes = [len(k) for k, _, _ in held]
-        cls = np.repeat(np.array([np.frombuffer(c, np.uint8) for _, c, _ in held]), sizes, 0)
-        ends = pa.py_buffer(np.arange(0, 16 * len(keys) + 1, 16, dtype=np.int32).tobytes())
-        one = pa.Array.from_buffers(pa.binary(), len(keys), [None, ends, pa.py_buffer(cls.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(keys), one, pa.array(np.repeat([s for _, _, s in held], sizes), pa.int32())], schema=arrow)
+    def batch(held: list[tuple[np.ndarray, np.ndarray, bytes, int]]) -> pa.RecordBatch:
+        keys, units = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        sizes = [len(h[0]) for h in held]
+        cls = np.repeat(np.array([np.frombuffer(h[2], np.uint8) for h in held]), sizes, 0)
+        kinds = np.repeat(np.array([h[3] for h in held], np.int32), sizes)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), _binary(cls), pa.array(kinds), pa.array(units)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.unpackbits(np.frombuffer(zlib.decompress(flags), np.uint8)).astype(bool)
+        two = np.frombuffer(zlib.decompress(packed), np.uint8)
+        own_level = np.stack([two >> 4, two & 15], 1).reshape(-1)
         seen: set[bytes] = set()
         held, size = [], 0
         for _, own in _sets(batches):
@@ -211,11 +225,12 @@ def _emitted(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(cls)
-            single, combined, short = signatures(own, often)
-            n = len(own)
-            for keys, kind in ((single, SINGLE), (combined, COMBINED), (short[: 4 <= n < 7], WHOLE), (short[1:] if n > 4 else short[:0], LESS_ONE)):
+            single, combined, short = signatures(own, own_level)
+            n, zeros = len(own), np.zeros(len(short), np.int32)
+            whole, less_one = slice(0, int(4 <= n < 7)), slice(1, None if n > 4 else 1)
+            for keys, units, kind in ((*single, SINGLE), (*combined, COMBINED), (short[whole], zeros[whole], WHOLE), (short[less_one], zeros[less_one], LESS_ONE)):
                 if len(keys):
-                    held.append((keys, cls, kind))
+                    held.append((keys, units, cls, kind))
                     size += len(keys)
             if size >= 50_000:
                 yield batch(held)
@@ -226,45 +241,65 @@ def _emitted(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of 16 bytes as one binary column."""
+    ends = np.arange(0, 16 * len(rows) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def _lists(singles: DataFrame) -> DataFrame:
-    """``list, cls, weight`` of rare signatures that at least two classes have: equal lists once, with how many they are.
+    """``list, cls, unit, weight`` of rare signatures that at least two classes have: equal lists once, with how many they are.
 
-    The rows of a key are bounded by the classes of signatures, so a list fits a task.
+    Of lists with the same members the one that comes first in the order has the smallest units
+    of all members. Lists of more than CHUNK members are passed on in chunks, each list by itself.
     """
-    schema = "list binary, members array<binary>, weight long"
+    schema = "list binary, chunk long, members array<binary>, units array<int>, weight long"
     arrow = arrow_schema(singles.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(keys: np.ndarray, cls: np.ndarray) -> pa.RecordBatch | None:
-            fresh = np.ones(len(keys), bool)
-            fresh[1:] = (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1]).any(1)
-            keys, cls = keys[fresh], cls[fresh]
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            ends = np.concatenate([starts[1:], [len(keys)]])
-            many = ends - starts >= 2
-            spans: dict[bytes, list[int]] = {}
-            for a, b in zip(starts[many].tolist(), ends[many].tolist()):
-                spans.setdefault(hashlib.blake2b(cls[a:b].tobytes(), digest_size=16).digest(), [a, b, 0])[2] += 1
-            rows = [(name, [x.tobytes() for x in cls[a:b]], n) for name, (a, b, n) in spans.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow) if rows else None
-
-        keys, cls = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-        for b in batches:
-            col = b.column(1)
-            ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
-            raw = np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-            keys = np.concatenate([keys, b.column(0).to_numpy()])
-            cls = np.concatenate([cls, raw.view(np.uint64).reshape(-1, 2)])
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if whole and (out := found(keys[:whole], cls[:whole])) is not None:
-                yield out
-            keys, cls = keys[whole:], cls[whole:]
-        if len(keys) and (out := found(keys, cls)) is not None:
-            yield out
-
-    ordered = singles.select("key", "cls").repartition("key").sortWithinPartitions("key", "cls")
-    lists = ordered.mapInArrow(run, schema).groupBy("list").agg(F.first("members").alias("members"), F.sum("weight").alias("weight"))
-    return lists.select("list", F.explode("members").alias("cls"), "weight")
+        keys, cls, units = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int32)
+        cut = 0  # chunks of the first list held that have been passed on
+
+        def part(a: int, b: int, chunk: int) -> tuple:
+            return b"L" + keys[a].tobytes(), chunk, [x.tobytes() for x in cls[a:b]], units[a:b].tolist(), 1
+
+        for b in chain(batches, [None]):
+            if b is not None:
+                raw = b.column(1)
+                ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+                raw = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+                keys = np.concatenate([keys, b.column(0).to_numpy()])
+                cls = np.concatenate([cls, raw.view(np.uint64).reshape(-1, 2)])
+                units = np.concatenate([units, b.column(2).to_numpy()])
+                fresh = np.ones(len(keys), bool)
+                fresh[1:] = (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1]).any(1)
+                keys, cls, units = keys[fresh], cls[fresh], units[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(keys))
+            whole = len(starts) - (b is not None and len(starts) > 0)  # the last list may go on
+            long = ends[: len(starts)] - starts > CHUNK
+            long[:1] |= cut > 0
+            out: list[tuple] = []
+            for k in np.flatnonzero(long[:whole]).tolist():
+                out += [part(x, min(x + CHUNK, int(ends[k])), i) for i, x in enumerate(range(int(starts[k]), int(ends[k]), CHUNK), 0 if k else cut)]
+            spans: dict[bytes, list] = {}
+            for k in np.flatnonzero(~long[:whole] & (ends[:whole] - starts[:whole] >= 2)).tolist():
+                x, y = int(starts[k]), int(ends[k])
+                own = spans.setdefault(hashlib.blake2b(cls[x:y].tobytes(), digest_size=16).digest(), [x, y, units[x:y].tolist(), 0])
+                own[2:] = min(own[2], units[x:y].tolist()), own[3] + 1
+            out += [(name, 0, [m.tobytes() for m in cls[x:y]], u, n) for name, (x, y, u, n) in spans.items()]
+            cut = 0 if whole else cut
+            tail = int(starts[whole]) if whole < len(starts) else len(keys)
+            while len(keys) - tail > CHUNK:
+                out.append(part(tail, tail + CHUNK, cut))
+                tail, cut = tail + CHUNK, cut + 1
+            keys, cls, units = keys[tail:], cls[tail:], units[tail:]
+            for x in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[x : x + 1000]), arrow.types)], schema=arrow)
+
+    ordered = singles.select("key", "cls", "unit").repartition("key").sortWithinPartitions("key", "cls")
+    lists = ordered.mapInArrow(run, schema).groupBy("list", "chunk").agg(F.first("members").alias("members"), F.min("units").alias("units"), F.sum("weight").alias("weight"))
+    return lists.select("list", F.explode(F.arrays_zip("members", "units")).alias("x"), "weight").select("list", F.col("x.members").alias("cls"), F.col("x.units").alias("unit"), "weight")
 
 
 def _possible(n: str, m: str, weight: str) -> str:
@@ -311,59 +346,51 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
     return sent.mapInArrow(run, schema)
 
 
+def meetings(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs ``x``, ``y`` of a list's members (``list, id, n, unit``) that ``label`` (``id, component``) has in different components.
+
+    They meet only in signatures that are early enough for both. Who is outside the list's
+    largest component meets the rest, so those inside don't meet each other.
+    """
+    known = lists.join(label, "id", "left").select("list", "id", "n", "unit", F.coalesce("component", "id").alias("component"))
+    shares = known.groupBy("list", "component").agg(F.count("*").alias("k"))
+    largest = shares.groupBy("list").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("several"))
+    rest = written(known.join(largest.where("several > 1").drop("several"), "list"), "open")
+    x, y = rest.where("component <> largest").alias("x"), rest.alias("y")
+    need = "(4 * (x.n + y.n) + 8) div 9 - 1"
+    return x.join(y, F.expr(f"""x.list = y.list AND x.component <> y.component AND (y.component = y.largest OR x.id < y.id)
+        AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) AND x.unit <= x.n - ({need}) AND y.unit <= y.n - ({need})"""))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     docs = texts_of(docs, id_col, text_col)
     profile = written(_profile(docs), "profile")
     own = profile.where("block IS NULL").select("doc_id", "cls", "n_shingles")
     nodes = own.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
-    emitted = written(_emitted(docs.where("doc_id IS NOT NULL"), _frequent(profile)), "signatures")
-    combined = emitted.where(F.col("kind") == COMBINED).select(F.col("key").cast("string").cast("binary").alias("list"), "cls").distinct()
-    lists = _lists(emitted.where(F.col("kind") == SINGLE)).unionByName(combined.withColumn("weight", F.lit(1).cast("long")))
-    lists = written(lists.join(nodes, "cls").select("list", "id", "n", "weight"), "lists")
+    emitted = written(_emitted(docs.where("doc_id IS NOT NULL"), _levels(profile)), "signatures")
+    combined = emitted.where(F.col("kind") == COMBINED).groupBy("key", "cls").agg(F.min("unit").alias("unit"))
+    combined = combined.select(F.col("key").cast("string").cast("binary").alias("list"), "cls", "unit", F.lit(1).cast("long").alias("weight"))
+    lists = _lists(emitted.where(F.col("kind") == SINGLE)).unionByName(combined)
+    lists = written(lists.join(nodes, "cls").select("list", "id", "n", "unit", "weight"), "lists")
 
     # the document that meets most others is the likeliest middle of a group
     sizes = lists.groupBy("list").agg(F.count("*").alias("m"))
     met_by = lists.join(sizes, "list").groupBy("id").agg(F.sum(F.expr("(m - 1) * weight")).alias("met"))
     lists = written(lists.join(met_by, "id"), "lists")
-    middle = F.max_by(F.struct("id", "n"), F.struct("met", -F.col("id"))).alias("hub")
-
-    def stars_of(members: DataFrame) -> DataFrame:
-        pairs = members.join(members.groupBy("list").agg(middle), "list").where("id <> hub.id").groupBy("id", "n", "hub").agg(F.sum("weight").alias("weight"))
-        return pairs.where(_possible("n", "hub.n", "weight")).select("id", F.col("hub.id").alias("hub"), "weight")
 
-    def still_apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-        of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
-        return pairs.join(of("id"), "id", "left").join(of("hub"), "hub", "left").where("coalesce(of_id, id) <> coalesce(of_hub, hub)").select("hub", "id")
-
-    stars = written(stars_of(lists), "stars")
-    first = stars.groupBy("id").agg(F.max_by("hub", F.struct("weight", -F.col("hub"))).alias("hub"))
+    middle = F.max_by(F.struct("id", "n"), F.struct("met", -F.col("id"))).alias("hub")
+    stars = lists.join(lists.groupBy("list").agg(middle), "list").where("id <> hub.id").groupBy("id", "n", "hub").agg(F.sum("weight").alias("weight"))
+    stars = stars.where(_possible("n", "hub.n", "weight")).select("id", F.col("hub.id").alias("hub"), "weight")
+    first = written(stars.groupBy("id").agg(F.max_by("hub", F.struct("weight", -F.col("hub"))).alias("hub")), "stars")
     of_kind = lambda kind, name: emitted.where(F.col("kind") == kind).join(nodes, "cls").select("key", F.col("id").alias(name))
     short = of_kind(WHOLE, "hub").join(of_kind(LESS_ONE, "id"), "key").select("id", "hub").distinct()
     links = written(verified(docs, first.unionByName(short).distinct()), "links")
     label = written(components(links), "labels")
-    links = links.unionByName(written(verified(docs, still_apart(stars, label)), "links"))
-    label = written(components(links), "labels")
 
-    # once more for those of each list that its middle has not reached
-    known = lists.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    reached = known.groupBy("list").agg(F.max_by("component", F.struct("met", -F.col("id"))).alias("reached"))
-    others = written(known.join(reached, "list").where("component <> reached").select("list", "id", "n", "weight", "met"), "others")
-    again = written(still_apart(stars_of(others), label), "stars")
-    links = links.unionByName(written(verified(docs, again), "links"))
-    label = written(components(links), "labels")
-    tried = stars.select("hub", "id").unionByName(again).select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")).distinct()
-
-    known = lists.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_lists = known.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
-    rest = written(known.join(open_lists, "list"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    met = x.join(y, F.expr("x.list = y.list AND x.component < y.component AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"))
-    met = met.select(
-        F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id"), F.least("x.n", "y.n").alias("n"), F.greatest("x.n", "y.n").alias("m"), "x.weight",
-    )
-    pairs = met.groupBy("hub", "id", "n", "m").agg(F.sum("weight").alias("weight")).where(_possible("n", "m", "weight"))
-    pairs = written(pairs.select("hub", "id").join(tried, ["hub", "id"], "left_anti"), "pairs")
+    pairs = meetings(lists, label).select(F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id")).distinct()
+    tried = first.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id"))
+    pairs = written(pairs.join(tried, ["hub", "id"], "left_anti"), "pairs")
     more = written(verified(docs, pairs), "links")
 
     # rows that repeat an identifier with another set are linked by it

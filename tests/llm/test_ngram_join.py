@@ -59,9 +59,55 @@ def test_linked_sets_share_a_signature():
         k = len(np.intersect1d(x, y))
         if 100 * k < 80 * (len(x) + len(y) - k):
             continue
-        flags = rng.random(ngram_join.SKETCH) < rng.choice([0, 0.1, 0.5, 0.9, 1])
-        a, b = ngram_join.signatures(x, flags), ngram_join.signatures(y, flags)
-        assert any(len(np.intersect1d(p, q)) for p, q in zip(a, b)), (len(x), len(y), k)
+        share, top = rng.choice([0, 0.1, 0.5, 0.9, 1]), rng.integers(1, ngram_join.TOP + 1)
+        level = ((rng.random(1 << 16) < share) * rng.integers(1, top + 1, 1 << 16)).astype(np.uint8)
+        level = np.tile(level, ngram_join.SKETCH >> 16)
+        need = -(-4 * (len(x) + len(y)) // 9)
+        early = []
+        for own in (x, y):
+            *long, short = ngram_join.signatures(own, level)
+            assert all(len(k) == len(u) for k, u in long)
+            early.append([k[u <= len(own) - need + 1] for k, u in long] + [short])
+        assert any(len(np.intersect1d(p, q)) for p, q in zip(*early)), (len(x), len(y), k)
+
+
+def test_lists_of_any_length(spark, monkeypatch):
+    """Equal short lists are one, long ones come in chunks, and nobody is lost."""
+    rng, rows = random.Random(3), []
+    for key, size in enumerate([1, 2, 3, 7, 8, 9, 16, 17, 60, 2, 3]):
+        rows += [(key - 5, f"{k:016d}".encode(), key + 1) for k in range(size) for _ in range(rng.choice([1, 1, 3]))]
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    got = ngram_join._lists(spark.createDataFrame(rows, "key long, cls binary, unit int").coalesce(1)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lists = {}
+    for r in got:
+        lists.setdefault(bytes(r.list), set()).add((bytes(r.cls), r.unit, r.weight))
+    found = sorted((len(x), max(u for _, u, _ in x), max(w for _, _, w in x)) for x in lists.values())
+    assert found == [(2, 2, 2), (3, 3, 2), (7, 4, 1), (8, 5, 1), (9, 6, 1), (16, 7, 1), (17, 8, 1), (60, 9, 1)]
+
+
+def test_sets_below_the_threshold_hardly_meet(spark):
+    """A group that shares 80 to 89 % of its shingles isn't linked, and its pairs don't meet."""
+    rng, rows = random.Random(6), []
+    shared = [f"s{k}" for k in range(90)]
+    for i in range(300):
+        rows.append((i, " ".join(shared + [f"o{i}x{k}" for k in range(rng.randint(11, 22))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [words.shingle_sets(o, d) for _, _, o, d in words.blocks(pa.array([t for _, t in rows]))]
+    sets = [x for part in sets for x in part]
+    counts = np.bincount(np.concatenate(sets).astype(np.int64) & (ngram_join.SKETCH - 1), minlength=ngram_join.SKETCH)
+    level = (2 * (counts > 8)).astype(np.uint8)
+    lists = []
+    for (i, _), own in zip(rows, sets):
+        for keys, units in ngram_join.signatures(own, level)[:2]:
+            lists += [(str(k).encode(), i, len(own), u) for k, u in zip(keys.tolist(), units.tolist())]
+    met = ngram_join.meetings(spark.createDataFrame(lists, "list binary, id long, n int, unit int"), spark.createDataFrame([], "id long, component long"))
+    want = brute(rows)
+    assert sorted(map(tuple, ngram_join.join(frame).collect())) == want
+    linked = sum(a < b and 80 * (len(sets[a]) + len(sets[b])) <= 180 * len(np.intersect1d(sets[a], sets[b])) for a in range(300) for b in range(300))
+    pairs = met.select("x.id", "y.id").distinct().count()
+    assert linked <= pairs <= 2 * linked + 300 and pairs < 300 * 299 // 8, (linked, pairs)
 
 
 def test_components(spark):
@@ -101,7 +147,7 @@ def test_op6_near_copies(spark, monkeypatch, empty, edges):
     want = sorted(brute(rows), key=KEY)
     assert sorted(map(tuple, ngram_join.join(frame).collect()), key=KEY) == want
     # every shingle frequent: combinations alone
-    monkeypatch.setattr(ngram_join, "_frequent", lambda profile: np.ones(ngram_join.SKETCH, bool))
+    monkeypatch.setattr(ngram_join, "_levels", lambda profile: np.tile(np.array([1, 2, 1, 3], np.uint8), ngram_join.SKETCH // 4))
     monkeypatch.setattr(ngram_join, "ROUTES", 0)
     monkeypatch.setattr(ngram_join, "MEMBERS", 3)
     assert sorted(map(tuple, ngram_join.join(frame).collect()), key=KEY) == want

@@ -60,8 +60,8 @@ def test_short_sets_give_no_single_signatures():
     # many different sets of 5 and 6 that share a shingle: no list gathers them by it
     rng, shared = np.random.default_rng(3), np.uint64(0)
     sets = [np.unique(np.append(rng.integers(1, 1 << 64, n - 1, dtype=np.uint64), shared)) for n in (5, 6) for _ in range(500)]
-    flags = np.ones(ngram_join.SKETCH, bool)
-    found = [ngram_join.signatures(x, flags) for x in sets]
-    assert not any(len(f[0]) for f in found)
-    keys = np.concatenate([k for f in found for k in f])
+    level = np.ones(ngram_join.SKETCH, np.uint8)
+    found = [ngram_join.signatures(x, level) for x in sets]
+    assert not any(len(f[0][0]) or len(f[1][0]) for f in found)
+    keys = np.concatenate([f[2] for f in found])
     assert len(np.unique(keys)) == len(keys)
