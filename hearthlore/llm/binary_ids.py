@@ -36,6 +36,42 @@ SEGMENT_SCHEMA = "part int, part_start long, n_ids long, doc_ids array<long>, do
 _HEAD = struct.Struct("<4sIII")
 
 
+def _to_bits(rows: np.ndarray, w: int) -> np.ndarray:
+    """The low ``w`` bits of each number, row by row, low bits first."""
+    n, block = rows.shape
+    if w > 16 or block % 8:
+        bits = np.unpackbits(rows.astype("<u4").view(np.uint8), axis=1, bitorder="little").reshape(n, block, 32)
+        return np.packbits(bits[:, :, :w].reshape(n, -1), axis=1, bitorder="little")
+    # eight numbers are w bytes: two words of four numbers each, put together to 128 bits
+    v = (rows & np.uint32((1 << w) - 1)).astype("<u8").reshape(n, block // 8, 8)
+    low, high = v[:, :, 0].copy(), v[:, :, 4].copy()
+    for k in (1, 2, 3):
+        low |= v[:, :, k] << np.uint64(k * w)
+        high |= v[:, :, 4 + k] << np.uint64(k * w)
+    both = np.zeros((n, block // 8, 2), "<u8")
+    both[:, :, 0], both[:, :, 1] = (low, high) if w == 16 else (low | high << np.uint64(4 * w), high >> np.uint64(64 - 4 * w) if w else high)
+    return both.view(np.uint8)[:, :, :w].reshape(n, -1)
+
+
+def _from_bits(raw: np.ndarray, w: int, block: int) -> np.ndarray:
+    """The numbers of ``_to_bits``."""
+    n = len(raw)
+    if w > 16 or block % 8:
+        bits = np.zeros((n, block, 32), np.uint8)
+        bits[:, :, :w] = np.unpackbits(raw, axis=1, bitorder="little")[:, : block * w].reshape(n, block, w)
+        return np.packbits(bits.reshape(n, -1), axis=1, bitorder="little").view("<u4")
+    both = np.zeros((n, block // 8, 16), np.uint8)
+    both[:, :, :w] = raw.reshape(n, block // 8, w)
+    low, high = (both.view("<u8")[:, :, k] for k in (0, 1))
+    out = np.empty((n, block // 8, 8), np.uint32)
+    for k in range(8):
+        at = k * w
+        own = low >> np.uint64(at) if at < 64 else high >> np.uint64(at - 64)
+        out[:, :, k] = own | high << np.uint64(64 - at) if 64 - w < at < 64 else own
+    out &= np.uint32((1 << w) - 1)
+    return out.reshape(n, block)
+
+
 def pack(values: np.ndarray, block: int = 256, percentile: float = 98.0) -> bytes:
     """Identifiers (below 2**32) as one segment image."""
     values = np.ascontiguousarray(values, np.uint32)
@@ -53,15 +89,15 @@ def pack(values: np.ndarray, block: int = 256, percentile: float = 98.0) -> byte
     over[-1:] &= np.arange(block) < lens[-1:][:, None]
     n_over = over.sum(1)
     packed: list[bytes] = [b""] * blocks
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        bits = np.unpackbits(diff[rows].astype("<u4").view(np.uint8), axis=1, bitorder="little").reshape(len(rows), block, 32)
-        kept = np.packbits(bits[:, :, :w].reshape(len(rows), -1), axis=1, bitorder="little")
-        for r, k in zip(rows.tolist(), kept):
+        for r, k in zip(rows.tolist(), _to_bits(diff[rows], w)):
             packed[r] = k[: -(-int(lens[r]) * int(w) // 8)].tobytes()
+    at, many = np.nonzero(over)[1].astype("<u2").tobytes(), diff[over].astype("<u4").tobytes()
+    ends = np.cumsum(n_over).tolist()
     for r in np.flatnonzero(n_over).tolist():
-        where = np.flatnonzero(over[r])
-        packed[r] += where.astype("<u2").tobytes() + diff[r, where].astype("<u4").tobytes()
+        a, b = ends[r] - int(n_over[r]), ends[r]
+        packed[r] += at[2 * a : 2 * b] + many[4 * a : 4 * b]
     starts = np.fromiter(accumulate(map(len, packed), initial=0), "<u4", blocks + 1)
     return b"".join(
         [_HEAD.pack(b"PFB1", n, block, blocks), starts.tobytes(), low.astype("<u4").tobytes(), width.tobytes(), n_over.astype("<u2").tobytes(), *packed]
@@ -92,13 +128,14 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
         for k, r in enumerate(rows.tolist()):
             have = -(-int(lens[r]) * w // 8)
             raw[k, :have] = body[starts[r] : starts[r] + have]
-        bits = np.zeros((len(rows), block, 32), np.uint8)
-        bits[:, :, :w] = np.unpackbits(raw, axis=1, bitorder="little")[:, : block * w].reshape(len(rows), block, w)
-        out[rows - first] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").view("<u4")
-    for r in (first + np.flatnonzero(n_over[first:last])).tolist():
-        k = int(n_over[r])
-        tail = body[starts[r + 1] - 6 * k : starts[r + 1]].tobytes()
-        out[r - first, np.frombuffer(tail, "<u2", k)] = np.frombuffer(tail, "<u4", k, 2 * k)
+        out[rows - first] = _from_bits(raw, w, block)
+    k = n_over[first:last].astype(np.int64)
+    row = np.repeat(np.arange(last - first), k)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+    tail = (starts[first + 1 : last + 1] - 6 * k)[row]
+    number = lambda begin, size: np.stack([body[begin + i] for i in range(size)], 1).reshape(-1).view(f"<u{size}")
+    if len(row):
+        out[row, number(tail + 2 * nth, 2)] = number(tail + 2 * k[row] + 4 * nth, 4)
     out += low[first:last, None]
     return out.reshape(-1)[: (n if last == blocks else last * block) - first * block]
 

@@ -29,7 +29,8 @@ _PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\t-\\r {_LETTER}0-9]+|[\\t-\\r ]+(?![^\\t-\\r ])|[\\t-\\r ]+"
 ).findall
 #: Units that one worker remembers newly; then they become the old ones, and those before are forgotten.
-CACHE = 200_000
+#: Longer units than REMEMBERED characters are not remembered, so that the memory has a bound in bytes.
+CACHE, REMEMBERED = 200_000, 64
 
 
 def byte_chars() -> list[str]:
@@ -92,10 +93,33 @@ class Missing(dict):
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        self[key] = out
+        if len(key) <= REMEMBERED:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
+class Spaced(Missing):
+    """Identifiers of what stands behind a space; plain words, which are most, without a further call."""
+
+    def __init__(self, make, tokenize, code: str):
+        super().__init__(make)
+        self.tokenize, self.code = tokenize, code
+
+    def __missing__(self, part):
+        if not (part.isascii() and part.isalpha()):
+            return super().__missing__(part)
+        out = self.old.get(part)
+        if out is None:
+            # the byte table's character for a space; letters stand for themselves
+            out = array(self.code, [t.id for t in self.tokenize("\u0120" + part)]).tobytes()
+        if len(part) <= REMEMBERED:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[part] = out
         return out
 
 
@@ -108,34 +132,33 @@ class Encoder:
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.table = str.maketrans({b: c for b, c in enumerate(byte_chars())})
-        self.pieces = Missing(lambda piece: self._merge(piece.encode().decode("latin-1").translate(self.table)))
+        if sys.byteorder == "big":
+            raise RuntimeError("identifiers are kept as this machine has them, and files are little-endian")
+        self.pieces = Missing(self._piece)
         self.whole = Missing(self._unit)
-        self.spaced = Missing(self._after_space)
+        self.spaced = Spaced(self._after_space, self.model.tokenize, self.code)
         self.marks = {m: self._merge(m) for m in ".,"}
         self.line = self._merge(byte_chars()[10])
 
     def _bytes(self, ids: Iterable[int]) -> bytes:
-        out = array(self.code, ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+        return array(self.code, ids).tobytes()
 
     def _merge(self, mapped: str) -> bytes:
-        return self._bytes([t.id for t in self.model.tokenize(mapped)])
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]).tobytes()
 
     def _after_space(self, part: str) -> bytes:
-        if part.isascii():
-            if part.isalpha():
-                return self._merge("\u0120" + part)  # the byte table's character for a space; letters stand for themselves
-            if part[-1:] in self.marks and part[:-1].isalpha():
-                return self.spaced[part[:-1]] + self.marks[part[-1]]
+        if part[-1:] in self.marks and part[:-1].isalpha():
+            return self.spaced[part[:-1]] + self.marks[part[-1]]
         if part[:1] == "\n":
             return self.line + (self.whole[part[1:]] if part[1:] else b"")
         return self._unit(" " + part)
 
     def _unit(self, unit: str) -> bytes:
         if _WORD(unit, 1 if unit[:1] == " " else 0):
-            return self._merge(unit.encode().decode("latin-1").translate(self.table))
+            return self._piece(unit)
         if _PLAIN(unit):
             return b"".join(map(self.pieces.__getitem__, _PIECES(unit)))
         return b"".join(self._merge(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit))
