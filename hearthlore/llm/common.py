@@ -1,7 +1,12 @@
-"""What several operators of this subpackage share."""
+"""What several operators of this subpackage share.
+
+Batches to Python workers are bounded by Spark itself, in rows and in bytes
+(``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB), so no setting of the session is changed.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,25 +18,36 @@ from pyspark.sql import functions as F
 
 #: Rows gathered before an output batch is handed back, and the bytes of payload that end a batch early.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-#: Rows that Spark sends to a Python worker at once; texts can be long.
-ARROW_ROWS = 1000
 #: Partition totals that are broadcast.
 BASES = 1_000_000
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``. Where that is unset (tests, one
-    machine), a temporary folder is made and set as the checkpoint folder.
+    Where that is unset, a session on one machine (master ``local``) gets a temporary folder;
+    any other raises, as its executors don't see each other's folders.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="hearthlore-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all machines of {master} share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        at = _local[0]
     return at.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of this run that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     """A folder name in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
@@ -77,7 +93,6 @@ def map_rows(df: DataFrame, schema: str, each: Callable[[Iterator[tuple]], Itera
         yield from batches_of(each(rows()), arrow)
 
     arrow = arrow_schema(df.sparkSession, schema)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.mapInArrow(run, schema)
 
 

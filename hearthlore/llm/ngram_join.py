@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, arrow_schema, map_rows, texts_of, written
+from .common import arrow_schema, map_rows, texts_of, written
 from .components import components
 from .words import blocks, mix, shingle_sets
 
@@ -169,7 +169,6 @@ def _profile(docs: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return docs.mapInArrow(run, schema)
 
 
