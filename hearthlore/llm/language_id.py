@@ -4,13 +4,13 @@ A text is compressed with each language's raw-content zstandard dictionary, in p
 CHUNK bytes; the language whose dictionary gives the smallest output in all is chosen. A
 dictionary only helps near a stream's start, so each piece is a stream of its own, and the
 margin doesn't shrink as a text grows. Texts are compared by their
-lower-cased letters, so that markup, digits and junk symbols don't decide. A relative
+lower-cased letters (Unicode's, so numerals such as one half are none), so that markup, digits and junk symbols don't decide. A relative
 margin below ``min_margin`` between the best and the second language rejects the decision
 (column ``rejected``); the best guess is reported all the same.
 
 The dictionaries are fitted on a bounded sample: per language SAMPLE_DOCS labelled
 documents, chosen by a hash of their identifier, SAMPLE_CHARS characters of each, and
-DICT_BYTES in all. Prediction reads every whole text.
+DICT_BYTES in all, for the MAX_LANGS most frequent labels. Prediction reads every whole text.
 
 Defined results: a null text or one without letters is ``und`` with score 0, rejected;
 ties go to the language with more labelled documents, then by name; rows without a label
@@ -20,10 +20,10 @@ table gives no rows; repeated rows stay; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +36,9 @@ CHUNK = 4096
 #: The least margin. Of the training folds of sf0.1, 2 of 7,977 rightly labelled texts of at least 30 bytes
 #: of letters are below it, and of 300 texts of random letters none of 100 words and 83 of 20 words are above it.
 LEVEL, MIN_MARGIN = 6, 0.02
-_letters = re.compile(r"[^\W\d_]+").findall
+#: Languages that are learnt: the most frequent labels.
+MAX_LANGS = 200
+_letters = regex.compile(r"\p{L}+").findall
 
 
 def letters_of(text: str) -> bytes:
@@ -53,7 +55,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Each language's dictionary content, the most frequent language first."""
     rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l"))
     rows = rows.where("l IS NOT NULL AND t IS NOT NULL")
-    n = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
+    n = {r.l: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()}
+    rows = rows.where(F.col("l").isin(list(n)))
     heads = rows.select("l", "i", F.substring("t", 1, SAMPLE_CHARS).alias("t")).where("t <> ''")
     order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i", "t")
     sample = heads.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)

@@ -5,12 +5,13 @@ runs of digit groups with their separators, and addresses written with a bracket
 An island is cut into tokens; a segment of at most MAX_TOKENS tokens can be an entity of a
 kind, any single token can be outside. A segment is scored as a whole (digit count, shape of
 its groups, separators, checksum, what stands before and behind), and dynamic programming
-chooses boundaries and kinds of all segments together. A segment that overlaps no base span
-is added to the spans.
+chooses boundaries and kinds of all segments together, with the base spans as segments that are
+given. What it chooses beside them is added to the spans.
 
 The field is trained by gradient steps on the conditional likelihood (forward and backward
 sums over all segmentations) of a bounded sample of islands: those of SAMPLE_DOCS documents,
-at most SAMPLE_ISLANDS. Their labels are the base spans; each labelled phone and address is
+at most SAMPLE_ISLANDS, the first PER_DOC of a document, none above ISLAND_CHARS characters.
+Their labels are the base spans; each labelled phone and address is
 added once more in a form the patterns don't know (no plus sign; bracketed "at"), each card
 once more with a wrong check digit, as no entity. Prediction reads every whole text, and what it costs is linear in the text.
 
@@ -35,7 +36,7 @@ from .common import map_rows, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The bounds of the training sample, and of an entity.
-SAMPLE_DOCS, SAMPLE_ISLANDS, MAX_TOKENS, MAX_DIGITS = 600, 1200, 15, 19
+SAMPLE_DOCS, SAMPLE_ISLANDS, PER_DOC, ISLAND_CHARS, MAX_TOKENS, MAX_DIGITS = 600, 1200, 20, 200, 15, 19
 
 # The base patterns. The digit runs are possessive and start at a run's begin, which changes
 # no match but keeps long runs of digits linear.
@@ -51,7 +52,7 @@ _any = re.compile(r"[0-9@]").search
 _digit = re.compile(r"[0-9]").search
 _numbers = re.compile(r"(?<![0-9A-Za-z_])\+?\(?[0-9]++(?:[\x20().-]{1,2}[0-9]++)*").finditer
 _at = re.compile(r"[\[({]\x20?(?:at|AT|@)\x20?[\])}]").finditer
-_written = re.compile(r"([A-Za-z0-9._%+-]+)\x20?[\[({]\x20?(?:at|AT|@)\x20?[\])}]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}])\x20?[A-Za-z0-9-]+)+")
+_host = re.compile(r"\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}])\x20?[A-Za-z0-9-]++)+").match
 _tokens = re.compile(r"[0-9]+|[^0-9]").findall
 
 
@@ -105,10 +106,12 @@ def islands(text: str) -> list[tuple[int, list[str], bool]]:
             if m.end() - m.start() >= 7 and len(_ascii_digits(m[0])) >= 7:
                 out.append((m.start(), _tokens(m[0]), False))
     for m in _at(text):
-        lo = max(0, m.start() - 64)
-        for w in _written.finditer(text, lo, min(len(text), m.end() + 128)):
-            if w.start() < m.start() < w.end():
-                out.append((w.start(), [w[0]], True))
+        end = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        start = end
+        while start and text[start - 1] in _local_chars:
+            start -= 1
+        if start < end and (host := _host(text, m.end())):
+            out.append((start, [text[start : host.end()]], True))
     return out
 
 
@@ -214,22 +217,26 @@ def _log_sum(xs: list[float]) -> float:
     return m + math.log(sum(math.exp(x - m) for x in xs))
 
 
+def rewritten(t: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Forms of a text that the base patterns don't know, with their labels."""
+    forms = []
+    for kind, a, b in base_spans(t):
+        if kind == "phone":
+            forms.append((t[:a] + t[a + 1 :], [(kind, a, b - 1)]))
+        if kind == "card":
+            forms.append((t[: b - 1] + str((int(t[b - 1]) + 1) % 10) + t[b:], []))
+        if kind == "email":
+            name, _, host = t[a:b].partition("@")
+            new = f"{name} [at] {host.replace('.', ' [dot] ')}" if len(t) % 2 else f"{name} (at) {host}"
+            forms.append((t[:a] + new + t[b:], [(kind, a, a + len(new))]))
+    return forms
+
+
 def train(texts: list[str], rounds: int = 6, rate: float = 0.3) -> dict[tuple[str, str], float]:
     """Weights from stretches of text around islands; labels are their base spans."""
     cases = []
     for t in sorted(set(texts)):
-        base = base_spans(t)
-        forms = [(t, base)]
-        for kind, a, b in base:
-            if kind == "phone":
-                forms.append((t[:a] + t[a + 1 :], [(kind, a, b - 1)]))
-            if kind == "card":
-                forms.append((t[: b - 1] + str((int(t[b - 1]) + 1) % 10) + t[b:], []))
-            if kind == "email":
-                name, _, host = t[a:b].partition("@")
-                new = f"{name} [at] {host.replace('.', ' [dot] ')}" if len(t) % 2 else f"{name} (at) {host}"
-                forms.append((t[:a] + new + t[b:], [(kind, a, a + len(new))]))
-        for text, labels in forms:
+        for text, labels in [(t, base_spans(t)), *rewritten(t)]:
             gold = {(a, b): kind for kind, a, b in labels}
             for start, toks, written in islands(text):
                 cands = segments(text, start, toks, written)
@@ -250,9 +257,9 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
         here = [(a, b) for _, a, b in base if a < end and b > start]
         if any(a <= start and b >= end for a, b in here):
             continue  # nothing is left outside the base span
-        for kind, a, b in field.best(len(toks), segments(text, start, toks, written)):
-            if all(b <= x or a >= y for x, y in here):
-                out.append((kind, a, b))
+        # base spans stay, so the segments around them are chosen together given those
+        free = [c for c in segments(text, start, toks, written) if all(c[3] <= x or c[2] >= y for x, y in here)]
+        out += field.best(len(toks), free)
     return out
 
 
@@ -264,8 +271,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict
     def stretches(found: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in found:
             spans = [(s, s + sum(map(len, t))) for s, t, _ in islands(text)] + [(a, b) for k, a, b in base_spans(text) if k == "email"]
-            for a, b in spans[:20]:
-                if b - a <= 200:
+            for a, b in spans[:PER_DOC]:
+                if b - a <= ISLAND_CHARS:
                     yield doc_id, text[max(0, a - 20) : b + 20]
 
     sample = map_rows(rows.join(F.broadcast(ids), "doc_id"), "doc_id long, part string", stretches)

@@ -1,6 +1,7 @@
 """Personal data: fixed patterns as written in the contract, and the trained field."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -73,3 +74,67 @@ def test_redact(spark, docs, edges):
     assert out.columns == docs.columns
     assert not any(plain(r.text) for r in out.collect())
     assert [r.text for r in pii.redact(edges, weights).collect()] == [t for _, t in EDGES]
+
+
+def segmentations(n, cands):
+    """All sets of segments that don't overlap, each with a kind."""
+    def go(at):
+        if at >= n:
+            yield ()
+            return
+        for rest in go(at + 1):
+            yield rest
+        for c in cands:
+            if c[0] == at:
+                for kind in pii.KINDS:
+                    for rest in go(c[1]):
+                        yield ((c, kind), *rest)
+
+    return list(go(0))
+
+
+def test_best_and_step_by_enumeration():
+    rng = random.Random(9)
+    for _ in range(60):
+        n = rng.randrange(1, 5)
+        cands = [(i, j, i, j, [f"f{rng.randrange(4)}", f"g{j - i}"]) for i in range(n) for j in range(i + 1, n + 1) if rng.random() < 0.6]
+        field = pii.Field({(k, f): rng.uniform(0, 4) for k in pii.KINDS for f in ["f0", "f1", "f2", "f3", "g1", "g2", "g3", "g4"]})
+        scored = [(sum(field.score(kind, c[4]) for c, kind in s), s) for s in segmentations(n, cands)]
+        got = field.best(n, cands)
+        value = sum(max(field.score(kind, c[4]) for c in cands if (c[2], c[3]) == (a, b)) for kind, a, b in got)
+        assert math.isclose(value, max(s for s, _ in scored), abs_tol=1e-9)
+        # the gradient: labelled features less their expectation
+        gold = {(c[2], c[3]): kind for c, kind in rng.choice(scored)[1]}
+        before, rate = dict(field.w), 0.5
+        total = sum(math.exp(s) for s, _ in scored)
+        want = {}
+        for c in cands:
+            for kind in pii.KINDS:
+                p = sum(math.exp(s) for s, x in scored if (c, kind) in x) / total
+                for f in c[4]:
+                    want[kind, f] = want.get((kind, f), 0) + (gold.get((c[2], c[3])) == kind) - p
+        field.step(n, cands, gold, rate)
+        assert all(abs(field.w[k] - before.get(k, 0) - rate * g) < 1e-3 for k, g in want.items())
+
+
+def test_written_addresses_of_any_length(spark, docs):
+    field = pii.Field(pii.fit(docs))
+    for local, host in (("a" * 200, "b" * 180 + ".example.com"), ("jo", "x.yy")):
+        t = f"see {local} [at] {host} now"
+        assert [t[a:b] for k, a, b in pii.added_spans(t, pii.base_spans(t), field)] == [f"{local} [at] {host}"]
+
+
+def test_held_out_rewrites(spark):
+    """Forms that the patterns don't know, of documents that were not trained on."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = pii.Field(pii.fit(docs.where("doc_id % 2 = 0")))
+    found = right = wanted = 0
+    for r in docs.where("doc_id % 2 = 1").collect():
+        for kind, a, b in pii.base_spans(r.text or ""):
+            part = r.text[max(0, a - 30) : b + 30]
+            for text, labels in pii.rewritten(part):
+                base = pii.base_spans(text)
+                got = set(pii.added_spans(text, base, field))
+                labels = {x for x in labels if x not in base}
+                found, right, wanted = found + len(got), right + len(got & labels), wanted + len(labels)
+    assert wanted >= 10 and right >= 0.9 * wanted and right >= 0.8 * found, (right, found, wanted)
