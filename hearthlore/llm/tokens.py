@@ -20,6 +20,8 @@ import numpy as np
 #: Unicode White_Space, as the library's pattern has it.
 SPACE = "\t-\r \x85\xa0  -     　"
 _AFTER_SPACE = re.compile(f"[{SPACE}] ").search
+#: What makes an ASCII text one whose units aren't just what single spaces and line feeds part.
+_ODD = ("  ", "\t ", "\n ", "\v ", "\f ", "\r ", " \n", "\n\n")
 _UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]").findall
 #: Letters in every Unicode version, and units made of them and of ASCII, which need not pass through the library's splitter.
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -167,7 +169,7 @@ class Encoder:
         """A text's identifiers as bytes of ``dtype``."""
         if any(s in text for s in self.special):
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if _AFTER_SPACE(text) or " \n" in text or "\n\n" in text:
+        if any(x in text for x in _ODD) or not text.isascii() and _AFTER_SPACE(text):
             return b"".join(map(self.whole.__getitem__, _UNITS(text)))
         first, *rest = text.replace("\n", " \n").split(" ")  # a lone line feed is a piece of its own
         return (self.whole[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
