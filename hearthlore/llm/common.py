@@ -1,7 +1,6 @@
 """What several operators of this subpackage share.
 
-Batches to Python workers are bounded by Spark itself, in rows and in bytes
-(``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB), so no setting of the session is changed.
+One setting of the session is made where the caller has none: ``small_batches`` says which.
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows gathered before an output batch is handed back, and the bytes of payload that end a batch early.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Rows that Spark sends to a Python worker at once.
+ARROW_ROWS = 1000
 #: Partition totals that are broadcast.
 BASES = 1_000_000
 
@@ -61,6 +62,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, to be handed to Python workers ARROW_ROWS rows at a time, as texts can be long.
+
+    Spark reads this when a result is computed, which may be after the operator has returned, so it
+    is a setting of the session. A caller's own value of it stays as it is.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return df
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that operators on texts need, as ``doc_id`` and ``text``; a null text is empty."""
     return docs.select(
@@ -93,7 +106,7 @@ def map_rows(df: DataFrame, schema: str, each: Callable[[Iterator[tuple]], Itera
         yield from batches_of(each(rows()), arrow)
 
     arrow = arrow_schema(df.sparkSession, schema)
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, new_path, remove, texts_of
+from .common import arrow_schema, new_path, remove, small_batches, texts_of
 from .words import blocks, mix, word_hashes
 
 K, BLOCK_BYTES = 5, 4 << 20
@@ -169,7 +169,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
         if ids:
             yield out()
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:

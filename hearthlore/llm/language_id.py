@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import map_rows, small_batches, texts_of
 
 #: The bounds of the training sample, for each language.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 600, 1 << 16
@@ -108,7 +108,7 @@ def decided(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float =
         for texts in batches:
             yield texts.map(lambda t: not decide(t or "")[2])
 
-    return docs.where(keep(F.col(f"`{text_col}`")))
+    return small_batches(docs).where(keep(F.col(f"`{text_col}`")))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows, texts_of, written
+from .common import arrow_schema, map_rows, small_batches, texts_of, written
 from .components import components
 from .words import blocks, mix, shingle_sets
 
@@ -169,7 +169,7 @@ def _profile(docs: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _levels(profile: DataFrame) -> np.ndarray:
@@ -237,7 +237,7 @@ def _emitted(docs: DataFrame, level: np.ndarray) -> DataFrame:
         if held:
             yield batch(held)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -342,7 +342,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
-    return sent.mapInArrow(run, schema)
+    return small_batches(sent).mapInArrow(run, schema)
 
 
 def meetings(lists: DataFrame, label: DataFrame) -> DataFrame:

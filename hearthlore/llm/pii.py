@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import map_rows, small_batches, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The bounds of the training sample, and of an entity.
@@ -324,7 +324,7 @@ def redact(docs: DataFrame, weights: dict[tuple[str, str], float], text_col: str
         for texts in batches:
             yield texts.map(one)
 
-    return docs.withColumn(text_col, replace(F.col(f"`{text_col}`")))
+    return small_batches(docs).withColumn(text_col, replace(F.col(f"`{text_col}`")))
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
