@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows, small_batches, texts_of, written
+from .common import arrow_schema, drop, map_rows, small_batches, texts_of, written
 from .components import components
 from .words import blocks, mix, shingle_sets
 
@@ -376,7 +376,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # the document that meets most others is the likeliest middle of a group
     sizes = lists.groupBy("list").agg(F.count("*").alias("m"))
     met_by = lists.join(sizes, "list").groupBy("id").agg(F.sum(F.expr("(m - 1) * weight")).alias("met"))
-    lists = written(lists.join(met_by, "id"), "lists")
+    plain, lists = lists, written(lists.join(met_by, "id"), "lists")
+    drop(plain)
 
     middle = F.max_by(F.struct("id", "n"), F.struct("met", -F.col("id"))).alias("hub")
     stars = lists.join(lists.groupBy("list").agg(middle), "list").where("id <> hub.id").groupBy("id", "n", "hub").agg(F.sum("weight").alias("weight"))
@@ -386,6 +387,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     short = of_kind(WHOLE, "hub").join(of_kind(LESS_ONE, "id"), "key").select("id", "hub").distinct()
     links = written(verified(docs, first.unionByName(short).distinct()), "links")
     label = written(components(links), "labels")
+    drop(emitted)
 
     pairs = meetings(lists, label).select(F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id")).distinct()
     tried = first.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id"))
