@@ -165,9 +165,11 @@ def _profile(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
         if held:
             add()
-        rows = [(None, None, None, k, zlib.compress(part.astype("<u2").tobytes(), 1)) for k, part in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if part.any()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
+        parts = counts.reshape(-1, SKETCH_BLOCK)
+        for first in range(0, len(parts), 64):
+            rows = [(None, None, None, k, zlib.compress(parts[k].astype("<u2").tobytes(), 1)) for k in range(first, min(first + 64, len(parts))) if parts[k].any()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
     return small_batches(docs).mapInArrow(run, schema)
 

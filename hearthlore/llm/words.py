@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of texts hashed together; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
