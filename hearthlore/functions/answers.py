@@ -10,6 +10,7 @@ from .facts import numeric_answer, price_pairs, relevant_fact
 from .persona import persona, persona_fallback, repaired, with_claims
 from .text import article, capitalize, contains_any, fact_sentences, first_rule, holds, lead_in_strip, norm, sentences
 
+# The patterns of questions that suppose a trade.
 ASKED_TRADE = [
     r"^(?:and\s+)?(?:are you|art thou|be you)\s+(?:a|an|the)?\s*(.+?)\s*[?!.]?$",
     r"^(?:and\s+)?(?:you are|you're|you)\s+(?:a|an|the)?\s*(.+?)(?:\s+right)?\s*[?!.]?$",

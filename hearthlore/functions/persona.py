@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import rules
 from .text import article, clean, norm
 
+# The patterns of personas and claims.
 KEPT = r"(?i)Your name is ([^.]+)\.\s*You are (?:a |an )?(.+?)(?:\s+(?:from|in|near)\s+([^.;]+))?\."
 KEEPER = r"(?i)Your name is ([^.]+)\.\s*You keep (?:a |an )?(.+?)(?:\s+in\s+([^.;]+))?\."
 OPEN_ENDED = r"(?i)Your name is ([^.]+)\. You are (?:a |an )?([^.]+)"

@@ -54,7 +54,7 @@ KNOWN_PLACES = ["britain", "cove", "jhelom", "minoc", "moonglow", "serpent isle"
 NOBODY = ["no", "nobody", "nothing", "anyone"]
 SAFE_FIRST_WORDS = "a an the well fine sorry glad happy from in at here there".split()
 # A release's own file name goes before these; it is a parameter of the selection.
-PREFERRED_MODELS = [f"model/{n}.pt" for n in ("v9_base_finetune", "v9_grounded", "best_balanced", "best_phase3", "final")]
+PREFERRED_MODELS = ["model/v9_base_finetune.pt", "model/v9_grounded.pt", "model/best_balanced.pt", "model/best_phase3.pt", "model/final.pt"]
 TOKENIZER_PATH = "tokenizer/tokenizer.json"
 
 SOCIAL = [

@@ -53,8 +53,17 @@ def bundle_discover(listing: DataFrame) -> DataFrame:
     return every.fillna(0, ["n0", "n1", "n2"]).withColumn("status", status).select("start", root.alias("root"), "status")
 
 
+def declared_paths(manifests: DataFrame) -> DataFrame:
+    """``bundle, declared_path`` from ``bundle, manifest``: the checkpoint that a manifest names; one that isn't JSON names none."""
+    named = F.try_variant_get(F.try_parse_json("manifest"), "$.production_checkpoint_archive_path", "string")
+    return manifests.select("bundle", F.nullif(named, F.lit("")).alias("declared_path"))
+
+
 def checkpoint_select(files: DataFrame, preferred: list[str] = rules.PREFERRED_MODELS) -> DataFrame:
-    """``bundle, path, how`` from ``bundle, path, override_path, declared_path``: override, declared, preferred, the only model file."""
+    """``bundle, path, how`` from ``bundle, path, override_path, declared_path``: override, declared, preferred, the only model file.
+
+    ``preferred`` has no release's own file name; put it first where there is one.
+    """
     rank = F.array_position(F.array(*map(F.lit, preferred)), F.col("path"))
     model = F.when(F.col("path").rlike(r"^model/[^/]+\.pt$"), F.col("path"))
     found = files.groupBy("bundle").agg(

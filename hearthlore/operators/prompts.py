@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +13,22 @@ from ..functions.text import clean
 BOS, EOS, STATE, PLAYER, SAY = "<BOS>", "<EOS>", "<STATE>", "<PLAYER>", "<SAY>"
 
 
-def encode_content(text: Column) -> Column:
-    """Tokens of a cleaned text behind one leading space; words, where no tokenizer is plugged in."""
-    return F.regexp_extract_all(F.concat(F.lit(" "), clean(text.cast("string"))), F.lit(r"( ?[^ ]+)"), F.lit(1))
+def encode_content(text: Column, tokenizer: Callable[[], Callable[[str], list[str]]] | None = None) -> Column:
+    """Tokens of a cleaned text behind one leading space; words, where no tokenizer is plugged in.
+
+    ``tokenizer`` is called once a Python worker and returns a function of a text; a null text has no tokens.
+    """
+    content = F.concat(F.lit(" "), clean(text.cast("string")))
+    if tokenizer is None:
+        return F.regexp_extract_all(content, F.lit(r"( ?[^ ]+)"), F.lit(1))
+
+    @F.pandas_udf("array<string>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens = tokenizer()
+        for texts in batches:
+            yield pd.Series([None if t is None else list(tokens(t)) for t in texts], dtype="object")
+
+    return encode(content)
 
 
 def prompt_pack(df: DataFrame, max_len: int = 128, max_state: int = 40, state: str = "state_tokens", player: str = "player_tokens") -> DataFrame:

@@ -21,7 +21,10 @@ def temperature_softmax(scores: DataFrame, temperature: float = 1.0) -> DataFram
 
 
 def nucleus_filter(scores: DataFrame, top_p: float = 0.9, temperature: float = 1.0) -> DataFrame:
-    """The items up to a cumulative probability of ``top_p`` (the one that crosses it goes too), renormalized; the best always stays."""
+    """The items up to a cumulative probability of ``top_p`` (the one that crosses it goes too), renormalized; the best always stays.
+
+    Cumulative probabilities are compared at 9 decimal digits, so that the order of adding doesn't decide.
+    """
     if not 0 < top_p <= 1:
         raise ValueError("top_p must be above 0 and at most 1")
     order = Window.partitionBy("row_id").orderBy(F.desc("p"), "item_id")
@@ -31,7 +34,7 @@ def nucleus_filter(scores: DataFrame, top_p: float = 0.9, temperature: float = 1
 
 
 def categorical_draw(scores: DataFrame, seed: int, top_p: float = 0.9, temperature: float = 1.0) -> DataFrame:
-    """One item a row, by a number in [0, 1) that hashes seed and row; no random state."""
+    """One item a row, by a number in [0, 1) that hashes seed and row; no random state. Cumulative probabilities have 9 decimal digits."""
     order = Window.partitionBy("row_id").orderBy("rank")
     kept = nucleus_filter(scores, top_p, temperature).withColumn("cum", F.round(F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0)), 9))
     digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string"))), 1, 8)

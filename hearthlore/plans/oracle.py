@@ -266,8 +266,8 @@ NUCLEUS = (
 )
 WORDS = f"words AS (SELECT doc_id, list_filter(string_split({clean('text')}, ' '), lambda x: x <> '') AS w FROM documents)"
 TOKENS = f"""{WORDS},
-tt AS (SELECT doc_id AS turn_id, list_concat(['<STATE>'], w[1:60]) AS st, list_concat(['<PLAYER>'], w[61:180]) AS pl,
-  CASE WHEN doc_id % 60 BETWEEN 1 AND 50 THEN list_transform(w[181:230], lambda x, i: CASE WHEN i = doc_id % 60 THEN '<EOS>' ELSE x END) ELSE w[181:230] END AS completion FROM words),
+tt AS (SELECT doc_id AS turn_id, list_concat(['<STATE>'], w[1:len(w) // 3]) AS st, list_concat(['<PLAYER>'], w[len(w) // 3 + 1:2 * (len(w) // 3)]) AS pl,
+  CASE WHEN doc_id % 60 BETWEEN 1 AND 50 THEN list_transform(w[2 * (len(w) // 3) + 1:], lambda x, i: CASE WHEN i = doc_id % 60 THEN '<EOS>' ELSE x END) ELSE w[2 * (len(w) // 3) + 1:] END AS completion FROM words),
 pk AS (SELECT *, st[1:40] AS ks, 126 - len(st[1:40]) AS room FROM tt),
 packed AS (SELECT *, list_concat(list_concat(['<BOS>'], ks), list_concat(pl[greatest(len(pl) - room, 0) + 1:], ['<SAY>'])) AS prompt, len(st) > 40 AS state_trimmed, len(pl) > room AS player_trimmed FROM pk),
 cl AS (SELECT *, 128 - len(prompt) + 1 AS left_over, least(32, 128 - len(prompt) + 1) AS cap, coalesce(list_position(completion, '<EOS>'), 0) AS e FROM packed),
@@ -339,13 +339,17 @@ def oracle_sql() -> dict[str, str]:
           c AS (SELECT *, list_filter({lst(rules.PREFERRED_MODELS)}, lambda x: list_contains(files, x)) AS p, list_distinct(list_filter(files, lambda x: regexp_matches(x, '^model/[^/]+\\.pt$'))) AS pts FROM b)
           SELECT bundle, CASE WHEN o IS NOT NULL THEN CASE WHEN list_contains(files, o) THEN o END WHEN list_contains(files, d) THEN d WHEN len(p) > 0 THEN p[1] WHEN len(pts) = 1 THEN pts[1] END AS path,
             CASE WHEN o IS NOT NULL THEN CASE WHEN list_contains(files, o) THEN 'override' ELSE 'override_missing' END WHEN list_contains(files, d) THEN 'declared' WHEN len(p) > 0 THEN 'preferred' WHEN len(pts) = 1 THEN 'only' ELSE 'ambiguous' END AS how FROM c""",
+        "a4_declared_checkpoint": f"""WITH j AS ({fx.MANIFEST_JSON}), f AS (SELECT m.bundle, path, override_path, CASE WHEN json_valid(manifest) THEN nullif(json_extract_string(manifest, '$.production_checkpoint_archive_path'), '') END AS declared_path FROM ({fx.MODEL_FILES}) m LEFT JOIN j ON j.bundle = m.bundle), b AS (SELECT bundle, list(path) AS files, max(override_path) AS o, max(declared_path) AS d FROM f GROUP BY bundle),
+          c AS (SELECT *, list_filter({lst(rules.PREFERRED_MODELS)}, lambda x: list_contains(files, x)) AS p, list_distinct(list_filter(files, lambda x: regexp_matches(x, '^model/[^/]+\\.pt$'))) AS pts FROM b)
+          SELECT bundle, CASE WHEN o IS NOT NULL THEN CASE WHEN list_contains(files, o) THEN o END WHEN list_contains(files, d) THEN d WHEN len(p) > 0 THEN p[1] WHEN len(pts) = 1 THEN pts[1] END AS path,
+            CASE WHEN o IS NOT NULL THEN CASE WHEN list_contains(files, o) THEN 'override' ELSE 'override_missing' END WHEN list_contains(files, d) THEN 'declared' WHEN len(p) > 0 THEN 'preferred' WHEN len(pts) = 1 THEN 'only' ELSE 'ambiguous' END AS how FROM c""",
         "a4_tokenizer_select": f"SELECT bundle, max(CASE WHEN path = 'tokenizer/tokenizer.json' THEN path END) AS path FROM ({fx.MODEL_FILES}) GROUP BY bundle",
         "b1_clean_text": f"SELECT doc_id, {clean('text')} AS v FROM documents",
         "b2_norm_text": f"SELECT doc_id, {norm('text')} AS v FROM documents",
         "b3_normalize_prompt_text": f"SELECT turn_id, {clean('raw_text')} AS v FROM ({fx.TURN})",
         "b4_state_sentences": f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n, array_to_string(p, '|') AS v FROM (SELECT doc_id, {sentences('text')} AS p FROM documents)",
         "b5_fact_sentences": per_npc(n="CAST(len(facts) AS INTEGER)", v="array_to_string(facts, '|')"),
-        "b6_fact_table": f"WITH {FEATURES}, l AS (SELECT npc_id, unnest(list_zip(facts, fact_norms, range(len(facts)))) AS z FROM features) SELECT npc_id, CAST(z[3] AS INTEGER) AS idx, z[1] AS fact, z[2] AS norm FROM l",
+        "b6_fact_table": f"WITH {FEATURES}, l AS (SELECT npc_id, unnest(list_zip(facts, fact_norms, range(len(facts)))) AS z FROM features) SELECT npc_id, CAST(z[3] AS INTEGER) AS idx, z[1] AS fact, z[2] AS norm, array_to_string(list_filter(string_split(z[2], ' '), lambda x: x <> ''), '|') AS words FROM l",
         "b7_number_value": f"SELECT doc_id, {number('n')} AS v FROM (SELECT doc_id, {norm('text')} AS n FROM documents)",
         "b8_article": f"SELECT npc_id, {article('role')} AS v, {article('home')} AS w FROM ({fx.PROFILE})",
         "b9_role_with_article": f"SELECT npc_id, {role('role')} AS v, 'The ' || role AS w FROM ({fx.PROFILE})",
@@ -400,6 +404,7 @@ def oracle_sql() -> dict[str, str]:
         "h4_throughput": f"WITH {GEN} SELECT turn_id, round(CASE WHEN seconds > 0 THEN tokens / seconds ELSE 0 END, 6) AS tokens_per_second, round(seconds * 1000, 6) AS latency_ms FROM generation",
         "h5_trim_warning": f"WITH {GEN} SELECT turn_id, state_trimmed, player_trimmed FROM generation WHERE state_trimmed OR player_trimmed",
         "i1_encode_content": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n, md5(array_to_string(t, '|')) AS v FROM (SELECT doc_id, regexp_extract_all(' ' || {clean('text')}, ' ?[^ ]+') AS t FROM documents)",
+        "i1_plugged_tokenizer": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n, md5(array_to_string(t, '|')) AS v FROM (SELECT doc_id, regexp_extract_all(' ' || {clean('text')}, ' ?[^ ]+') AS t FROM documents)",
         "i2_prompt_pack": f"WITH {TOKENS} SELECT turn_id, CAST(len(prompt) AS INTEGER) AS n, array_to_string(prompt, ' ') AS v FROM packed",
         "i3_prompt_trim_flags": f"WITH {TOKENS} SELECT turn_id, state_trimmed, player_trimmed FROM packed",
         "i4_completion_clip": f"WITH {TOKENS} SELECT turn_id, CAST(len(clipped) AS INTEGER) AS tokens, array_to_string(clipped, ' ') AS clipped, stop FROM cut",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +77,8 @@ def _profile(**cols):
 
 def fact_table(spark, d):
     long = _features(spark, d).select("npc_id", F.posexplode(F.arrays_zip("facts", "fact_norms")).alias("idx", "f"))
-    return long.select("npc_id", "idx", F.col("f.facts").alias("fact"), F.col("f.fact_norms").alias("norm"))
+    n = F.col("f.fact_norms")
+    return long.select("npc_id", "idx", F.col("f.facts").alias("fact"), n.alias("norm"), F.array_join(F.array_remove(F.split(n, " "), ""), "|").alias("words"))
 
 
 def manifest(spark, d):
@@ -86,6 +89,18 @@ def _artifact(spark, d):
     return fixtures.given(spark, d, fixtures.ARTIFACT, "documents")
 
 
+def declared_checkpoint(spark, d):
+    """The checkpoints of bundles whose manifests are JSON texts, some of them broken."""
+    files = fixtures.given(spark, d, fixtures.MODEL_FILES, "documents").drop("declared_path")
+    manifests = fixtures.given(spark, d, fixtures.MANIFEST_JSON, "documents")
+    return artifacts.checkpoint_select(files.join(artifacts.declared_paths(manifests), "bundle", "left"))
+
+
+def word_tokenizer():
+    """A stand-in for a tokenizer: words with the space before them."""
+    return re.compile(" ?[^ ]+").findall
+
+
 def _scores(spark, d):
     return fixtures.given(spark, d, fixtures.SCORES, "lineitem")
 
@@ -127,12 +142,13 @@ def suite_summary(spark, d):
 
 
 def _token_turn(spark, d):
-    """Word arrays cut from whole documents: a state's, a player's and a completion's."""
+    """Word arrays from whole documents: a state's, a player's (a third each) and a completion's (the rest)."""
     words = _docs(spark, d).select("doc_id", F.array_remove(F.split(text.clean(F.col("text")), " "), "").alias("w"))
     end = F.col("doc_id") % 60
-    c = F.slice("w", 181, 50)
+    third = F.floor(F.size("w") / 3).cast("int")
+    c = F.slice("w", 2 * third + 1, F.size("w"))
     c = F.when(end.between(1, 50), F.transform(c, lambda x, i: F.when(i + 1 == end, prompts.EOS).otherwise(x))).otherwise(c)
-    return words.select(F.col("doc_id").alias("turn_id"), F.slice("w", 1, 60).alias("state_tokens"), F.slice("w", 61, 120).alias("player_tokens"), c.alias("completion"))
+    return words.select(F.col("doc_id").alias("turn_id"), F.slice("w", F.lit(1), third).alias("state_tokens"), F.slice("w", third + 1, third).alias("player_tokens"), c.alias("completion"))
 
 
 def _packed(spark, d):
@@ -176,6 +192,7 @@ def queries() -> dict:
         "a2_integrity_summary": lambda s, d: artifacts.integrity_summary(manifest(s, d), _artifact(s, d)),
         "a3_bundle_discover": lambda s, d: artifacts.bundle_discover(fixtures.given(s, d, fixtures.LISTING, "documents")),
         "a4_checkpoint_select": lambda s, d: artifacts.checkpoint_select(fixtures.given(s, d, fixtures.MODEL_FILES, "documents")),
+        "a4_declared_checkpoint": declared_checkpoint,
         "a4_tokenizer_select": lambda s, d: artifacts.tokenizer_select(fixtures.given(s, d, fixtures.MODEL_FILES, "documents")),
         "b1_clean_text": _on_docs("v", text.clean),
         "b2_norm_text": _on_docs("v", text.norm),
@@ -236,6 +253,7 @@ def queries() -> dict:
         "h4_throughput": lambda s, d: evaluate.throughput(_generation(s, d)).select("turn_id", r6("tokens_per_second"), r6("latency_ms")),
         "h5_trim_warning": lambda s, d: evaluate.trim_warning(_generation(s, d)).select("turn_id", "state_trimmed", "player_trimmed"),
         "i1_encode_content": lambda s, d: _docs(s, d).select("doc_id", prompts.encode_content(TEXT()).alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", "|")).alias("v")),
+        "i1_plugged_tokenizer": lambda s, d: _docs(s, d).select("doc_id", prompts.encode_content(TEXT(), word_tokenizer).alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", "|")).alias("v")),
         "i2_prompt_pack": lambda s, d: _packed(s, d).select("turn_id", F.size("prompt").alias("n"), F.array_join("prompt", " ").alias("v")),
         "i3_prompt_trim_flags": lambda s, d: _packed(s, d).select("turn_id", "state_trimmed", "player_trimmed"),
         "i4_completion_clip": clipped,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
@@ -58,6 +60,13 @@ SELECT bundle, CASE WHEN g = 3 THEN CASE WHEN bundle % 12 = 3 THEN 'model/own.pt
 FROM (SELECT CAST((doc_id - doc_id % 6) / 6 AS BIGINT) AS bundle, CAST((doc_id - doc_id % 6) / 6 AS BIGINT) % 6 AS g, doc_id % 6 AS k FROM documents)
 """
 
+MANIFEST_JSON = """
+SELECT bundle, CASE bundle % 5 WHEN 0 THEN chr(123) || '"production_checkpoint_archive_path": "model/' || CASE WHEN bundle % 2 = 0 THEN 'other' ELSE 'gone' END || '.pt", "n": 1' || chr(125)
+  WHEN 1 THEN chr(123) || '"production_checkpoint_archive_path": "model/other.pt"' WHEN 2 THEN chr(123) || '"other": [1, 2]' || chr(125)
+  WHEN 3 THEN chr(123) || '"production_checkpoint_archive_path": ""' || chr(125) END AS manifest
+FROM (SELECT DISTINCT CAST((doc_id - doc_id % 6) / 6 AS BIGINT) AS bundle FROM documents) AS b
+"""
+
 SCORES = "SELECT l_orderkey AS row_id, l_linenumber AS item_id, CAST(max(l_quantity) AS DOUBLE) / 10 AS logit FROM lineitem GROUP BY l_orderkey, l_linenumber"
 
 GENERATION = """
@@ -68,10 +77,15 @@ FROM events
 
 
 def given(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """The rows of a statement over the named tables."""
-    for t in tables:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(sql)
+    """The rows of a statement over the named tables; no view of the session is touched."""
+    return over(spark, sql, {t: table(spark, sf_dir, t) for t in tables})
+
+
+def over(spark: SparkSession, sql: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """The rows of a statement whose tables are the given frames."""
+    for t in frames:
+        sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+    return spark.sql(sql, **frames)
 
 
 def npc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

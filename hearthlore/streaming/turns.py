@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,15 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import answers, text
+from ..functions import answers, persona, text
 from ..operators.sessions import QUIT
 from ..session import table
 from ..sources import fixtures
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder name in the folder that driver and executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hearthlore-")
+    """A new folder name in the folder that driver and executors share; on one machine, where none is named, a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    at = at or "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -36,10 +40,8 @@ def turn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of the events file as a stream."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream.createOrReplaceTempView("events")
-    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
     n = table(spark, sf_dir, "supplier").count()
-    return spark.sql(fixtures.TURN.replace("(SELECT count(*) FROM supplier)", str(n)))
+    return fixtures.over(spark, fixtures.TURN.replace("(SELECT count(*) FROM supplier)", str(n)), {"events": stream})
 
 
 def respond_stream(turns: DataFrame, states: DataFrame, seed: int | None = None) -> DataFrame:
@@ -87,19 +89,18 @@ def fallback_hook(joined: DataFrame, model: Callable[[], Callable[[str, str], st
     ``model`` is called once a Python worker and returns a function of state and question.
     For answered turns there is no model text, so a comparison with it says grounded.
     """
-    asked = answers.grounded(joined.withColumn("raw_text", F.lit("")), seed).select("turn_id", "rule", F.col("text").alias("ruled"))
 
     @F.pandas_udf("string")
-    def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def ask(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         say = model()
-        for states, questions in batches:
-            yield pd.Series([say(s or "", q or "") for s, q in zip(states, questions)], dtype="object")
-
-    open_turns = asked.where(F.col("rule").isin("model_first", "fallback")).select("turn_id")
-    raw = joined.join(open_turns, "turn_id").withColumn("raw_text", ask("state", "player"))
-    spoken = answers.grounded(raw, seed).select("turn_id", "text", "rule")
-    ruled = asked.where(~F.col("rule").isin("model_first", "fallback")).select("turn_id", F.col("ruled").alias("text"), "rule")
-    return ruled.unionByName(spoken)
+        for opens, states, questions in batches:
+            yield pd.Series([say(s or "", q or "") if o else None for o, s, q in zip(opens, states, questions)], dtype="object")
+
+    # one pass: the rule decides who is asked, and only the verdicts on the model's text are left to do
+    ruled = answers.grounded(joined.withColumn("raw_text", F.lit("")), seed).withColumn("open", F.col("rule").isin("model_first", "fallback"))
+    asked = ruled.select("turn_id", "rule", F.col("text").alias("ruled"), "persona", "open", ask("open", "state", "player").alias("raw_text"))
+    text = F.when(F.col("open"), persona.repaired()).otherwise(F.col("ruled"))
+    return persona.with_claims(asked).select("turn_id", text.alias("text"), "rule")
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:

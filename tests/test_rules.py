@@ -1,12 +1,13 @@
 """Edge strings, the twelve prompts, and plans."""
 
+import hashlib
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from hearthlore.functions import answers, facts, persona, rules, text
-from hearthlore.operators import evaluate, prompts, sampling, sessions
+from hearthlore.operators import artifacts, evaluate, prompts, sampling, sessions
 from hearthlore.sources import files
 
 
@@ -160,6 +161,44 @@ def test_files(spark, tmp_path):
     assert files.metadata(spark, str(tmp_path / "meta.json")).collect()[0].a.b == 1
 
 
+def test_bundle_of_real_files(spark, tmp_path):
+    """From files on disk to verified rows, the bundle's root, and the checkpoint that its manifest names."""
+    root = tmp_path / "outer" / "release"
+    (root / "model").mkdir(parents=True)
+    (root / "tokenizer").mkdir()
+    (root / "model" / "own.pt").write_bytes(b"weights")
+    (root / "model" / "final.pt").write_bytes(b"other")
+    (root / "tokenizer" / "tokenizer.json").write_text("{}")
+    (root / "manifest.json").write_text('{"production_checkpoint_archive_path":\n "model/own.pt"}')
+    sums = [hashlib.sha256(b"weights").hexdigest() + "  model/own.pt", hashlib.sha256(b"x").hexdigest().upper() + "  model/final.pt", "ab  gone.pt", "bad", " "]
+    (root / "SUMS").write_text("\n".join(sums))
+    manifest = artifacts.manifest_scan(files.manifest_text(spark, str(root / "SUMS")))
+    found = files.artifacts(spark, str(root))
+    assert sorted(map(tuple, artifacts.integrity_verify(manifest, found).collect())) == [("gone.pt", "MISSING"), ("model/final.pt", "FAIL"), ("model/own.pt", "OK")]
+    assert artifacts.integrity_summary(manifest, found).collect()[0].passed is False
+    listing = files.listing(spark, str(tmp_path)).select(F.lit("start").alias("start"), "path")
+    assert [(r.root, r.status) for r in artifacts.bundle_discover(listing).collect()] == [("outer/release", "grandchild")]
+    text_of = found.where("path = 'manifest.json'").select(F.lit("b").alias("bundle"), F.decode("content", "UTF-8").alias("manifest"))
+    for declared, want in ((artifacts.declared_paths(text_of), ("model/own.pt", "declared")), (artifacts.declared_paths(text_of.withColumn("manifest", F.lit("{broken"))), ("model/final.pt", "preferred"))):
+        rows = files.listing(spark, str(root)).select(F.lit("b").alias("bundle"), "path", F.lit(None).cast("string").alias("override_path")).join(declared, "bundle")
+        assert [(r.path, r.how) for r in artifacts.checkpoint_select(rows).collect()] == [want]
+
+
+def test_the_hook_asks_once(spark):
+    """Open turns reach the model in one pass over the turns."""
+    from hearthlore.streaming import turns
+
+    plan = turns.fallback_hook_query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") >= 1 and plan.count("event_id#") and plan.count("Union") == 0
+    assert len(re.findall(r"FileScan parquet \[event_id", plan)) <= 1
+
+
+def test_encode_content_with_a_tokenizer(spark):
+    df = spark.createDataFrame([("ab  c",), (None,), ("",)], "t string")
+    got = df.select(prompts.encode_content(F.col("t"), lambda: list).alias("x")).collect()
+    assert [r.x for r in got] == [[" ", "a", "b", " ", "c"], None, [" "]]
+
+
 def test_no_python_on_the_rule_path(spark):
     from hearthlore.plans import queries
 
