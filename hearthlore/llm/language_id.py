@@ -35,8 +35,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 600, 1 << 16
 CHUNK = 256
 #: The least margin. Of 4,000 labelled texts that the dictionaries didn't see, 2 rightly labelled ones of at least
 #: 200 bytes of letters are below it (18 with pieces of 4,096 bytes and a margin of 0.02); of 100 texts of random
-#: letters none of 400 words, 3 of 100 words and 35 of 20 words are above it.
-LEVEL, MIN_MARGIN = 6, 0.01
+#: letters none of 400 words, 1 of 100 words and 34 of 20 words are above it.
+LEVEL, MIN_MARGIN = 6, 0.0125
 #: Languages that are learnt: the most frequent labels.
 MAX_LANGS = 200
 _letters = regex.compile(r"\p{L}+").findall
