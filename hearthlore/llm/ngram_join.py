@@ -34,7 +34,8 @@ same members are one list, with a weight. In each list the document that meets m
 the hub, and each document is verified against the hub with which it shares most. Then what is
 left in a list outside its largest component meets the list's documents of other components,
 by early enough signatures alone, and these pairs are verified. Verification compares the sets of whole texts: hubs are salted, and
-members stream past their hub.
+members stream past their hub. A list of more than CHUNK members is dealt to several tasks wherever
+its members are joined: each member to one part, what belongs to the list to all parts.
 
 Defined results: null and empty texts and texts without words have 0 shingles and are their
 own component; fewer words than five are one shingle; repeated rows are reported each; rows
@@ -61,7 +62,7 @@ from .words import blocks, mix, shingle_sets
 SKETCH, SKETCH_BLOCK = 1 << 24, 1 << 14
 #: A counter up to the mean, four deviations and this many is of level 0; the highest level.
 LEAST, TOP = 8, 15
-#: Sets that a task remembers as emitted, members of a list in one row, members that share one copy of their hub, routes that are broadcast.
+#: Sets that a task remembers as emitted, members of a list in one row or part, members that share one copy of their hub, routes or long lists that are broadcast.
 SEEN, CHUNK, MEMBERS, ROUTES = 200_000, 1024, 256, 1_000_000
 #: Kinds of signatures that are emitted.
 SINGLE, COMBINED, WHOLE, LESS_ONE = range(4)
@@ -347,7 +348,30 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
     return small_batches(sent).mapInArrow(run, schema)
 
 
-def meetings(lists: DataFrame, label: DataFrame) -> DataFrame:
+class Parts:
+    """The parts, of about CHUNK members, that long lists are dealt to as ``salt``; others have part 0 alone.
+
+    Long lists are at most one in CHUNK rows; up to ROUTES of them are broadcast, beyond they are joined.
+    """
+
+    def __init__(self, lists: DataFrame):
+        parts = F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")
+        self.long = written(lists.groupBy("list").agg(parts).where("parts > 1"), "long")
+        self.small = self.long.count() <= ROUTES
+
+    def _joined(self, df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(self.long) if self.small else self.long, "list", "left")
+
+    def one(self, members: DataFrame) -> DataFrame:
+        """Each member (``list``, ``id``) in one part."""
+        return self._joined(members).withColumn("salt", F.expr("CAST(pmod(xxhash64(id), coalesce(parts, 1)) AS INT)")).drop("parts")
+
+    def all(self, rows: DataFrame) -> DataFrame:
+        """Each row in all parts of its ``list``."""
+        return self._joined(rows).withColumn("salt", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
+
+
+def meetings(lists: DataFrame, label: DataFrame, parts: Parts | None = None) -> DataFrame:
     """Pairs ``x``, ``y`` of a list's members (``list, id, n, unit``) that ``label`` (``id, component``) has in different components.
 
     They meet only in signatures that are early enough for both. Who is outside the list's
@@ -356,10 +380,11 @@ def meetings(lists: DataFrame, label: DataFrame) -> DataFrame:
     known = lists.join(label, "id", "left").select("list", "id", "n", "unit", F.coalesce("component", "id").alias("component"))
     shares = known.groupBy("list", "component").agg(F.count("*").alias("k"))
     largest = shares.groupBy("list").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("several"))
-    rest = written(known.join(largest.where("several > 1").drop("several"), "list"), "open")
-    x, y = rest.where("component <> largest").alias("x"), rest.alias("y")
+    parts = parts or Parts(lists)
+    rest = written(parts.one(known).join(parts.all(largest.where("several > 1").drop("several")), ["list", "salt"]), "open")
+    x, y = parts.all(rest.where("component <> largest").drop("salt")).alias("x"), rest.alias("y")
     need = "(4 * (x.n + y.n) + 8) div 9 - 1"
-    return x.join(y, F.expr(f"""x.list = y.list AND x.component <> y.component AND (y.component = y.largest OR x.id < y.id)
+    return x.join(y, F.expr(f"""x.list = y.list AND x.salt = y.salt AND x.component <> y.component AND (y.component = y.largest OR x.id < y.id)
         AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) AND x.unit <= x.n - ({need}) AND y.unit <= y.n - ({need})"""))
 
 
@@ -376,13 +401,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lists = written(lists.join(nodes, "cls").select("list", "id", "n", "unit", "weight"), "lists")
 
     # the document that meets most others is the likeliest middle of a group
-    sizes = lists.groupBy("list").agg(F.count("*").alias("m"))
-    met_by = lists.join(sizes, "list").groupBy("id").agg(F.sum(F.expr("(m - 1) * weight")).alias("met"))
+    parts = Parts(lists)
+    sizes = parts.all(lists.groupBy("list").agg(F.count("*").alias("m")))
+    met_by = parts.one(lists).join(sizes, ["list", "salt"]).groupBy("id").agg(F.sum(F.expr("(m - 1) * weight")).alias("met"))
     plain, lists = lists, written(lists.join(met_by, "id"), "lists")
     drop(plain)
 
     middle = F.max_by(F.struct("id", "n"), F.struct("met", -F.col("id"))).alias("hub")
-    stars = lists.join(lists.groupBy("list").agg(middle), "list").where("id <> hub.id").groupBy("id", "n", "hub").agg(F.sum("weight").alias("weight"))
+    hubs = parts.all(lists.groupBy("list").agg(middle))
+    stars = parts.one(lists).join(hubs, ["list", "salt"]).where("id <> hub.id").groupBy("id", "n", "hub").agg(F.sum("weight").alias("weight"))
     stars = stars.where(_possible("n", "hub.n", "weight")).select("id", F.col("hub.id").alias("hub"), "weight")
     first = written(stars.groupBy("id").agg(F.max_by("hub", F.struct("weight", -F.col("hub"))).alias("hub")), "stars")
     of_kind = lambda kind, name: emitted.where(F.col("kind") == kind).join(nodes, "cls").select("key", F.col("id").alias(name))
@@ -391,7 +418,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     label = written(components(links), "labels")
     drop(emitted)
 
-    pairs = meetings(lists, label).select(F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id")).distinct()
+    pairs = meetings(lists, label, parts).select(F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id")).distinct()
     tried = first.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id"))
     pairs = written(pairs.join(tried, ["hub", "id"], "left_anti"), "pairs")
     more = written(verified(docs, pairs), "links")

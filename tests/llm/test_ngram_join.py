@@ -87,6 +87,19 @@ def test_lists_of_any_length(spark, monkeypatch):
     assert found == [(2, 2, 2), (3, 3, 2), (7, 4, 1), (8, 5, 1), (9, 6, 1), (16, 7, 1), (17, 8, 1), (60, 9, 1)]
 
 
+def test_parts_of_long_lists(spark, monkeypatch):
+    """Members of a long list are dealt evenly, and what belongs to the list reaches every part."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 50)
+    for routes in (0, 1000):
+        monkeypatch.setattr(ngram_join, "ROUTES", routes)
+        lists = spark.createDataFrame([(b"a", i) for i in range(500)] + [(b"b", i) for i in range(3)], "list binary, id long")
+        parts = ngram_join.Parts(lists)
+        joined = parts.one(lists).join(parts.all(lists.groupBy("list").count()), ["list", "salt"]).collect()
+        assert sorted((bytes(r.list), r.id, r["count"]) for r in joined) == [(b"a", i, 500) for i in range(500)] + [(b"b", i, 3) for i in range(3)]
+        shares = [sum(r.list == b"a" and r.salt == k for r in joined) for k in range(10)]
+        assert sum(shares) == 500 and max(shares) < 80
+
+
 def test_sets_below_the_threshold_hardly_meet(spark):
     """A group that shares 80 to 89 % of its shingles isn't linked, and its pairs don't meet."""
     rng, rows = random.Random(6), []
@@ -150,6 +163,7 @@ def test_op6_near_copies(spark, monkeypatch, empty, edges):
     monkeypatch.setattr(ngram_join, "_levels", lambda profile: np.tile(np.array([1, 2, 1, 3], np.uint8), ngram_join.SKETCH // 4))
     monkeypatch.setattr(ngram_join, "ROUTES", 0)
     monkeypatch.setattr(ngram_join, "MEMBERS", 3)
+    monkeypatch.setattr(ngram_join, "CHUNK", 4)
     assert sorted(map(tuple, ngram_join.join(frame).collect()), key=KEY) == want
 
 
