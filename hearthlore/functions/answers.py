@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
-from .facts import numeric_answer, price_pairs, relevant_fact
-from .persona import persona, persona_fallback, repaired, with_claims
+from .facts import numeric_answer, price_lines, price_pairs, relevant_fact
+from .persona import persona, persona_fallback, persona_norms, repaired, with_claims
 from .text import article, capitalize, contains_any, fact_sentences, first_rule, holds, lead_in_strip, norm, sentences
 
 # The patterns of questions that suppose a trade.
@@ -21,9 +21,19 @@ def social_answer(q: Column) -> Column:
     return first_rule(rules.SOCIAL, {"q": q})
 
 
-def practical_answer(q: Column, s: Column, fact: Column) -> Column:
+#: The first practical rule that looks at the question; those before it depend on the state alone.
+ASKING = next(i for i, (condition, _) in enumerate(rules.PRACTICAL) if any(t[0] == "q" for tests in condition for t in tests))
+
+
+def practical_state(s: Column) -> Column:
+    """The practical answer that the state alone decides."""
+    return first_rule(rules.PRACTICAL[:ASKING], {"s": s})
+
+
+def practical_answer(known: Column, q: Column, s: Column, fact: Column) -> Column:
+    """``known`` is ``practical_state``."""
     sides = {"q": q, "s": s}
-    return F.coalesce(first_rule(rules.PRACTICAL, sides), F.when(holds(rules.ANTIDOTE, sides), fact))
+    return F.coalesce(known, first_rule(rules.PRACTICAL[ASKING:], sides), F.when(holds(rules.ANTIDOTE, sides), fact))
 
 
 def capability_answer(q: Column, s: Column) -> Column:
@@ -53,8 +63,8 @@ def numeric_gate(q: Column) -> Column:
     return contains_any(q, rules.NUMERIC_GATE)
 
 
-def variant(templates: list[str], who: str, pick: Column) -> Column:
-    """One of several phrasings by number; ``who`` is the persona's column."""
+def phrasings(templates: list[str], who: str) -> Column:
+    """All phrasings of an answer; ``who`` is the persona's column."""
     name, trade, home = (F.col(f"{who}.{x}") for x in ("name", "profession", "home"))
     fill = {
         "{name}": name, "{trade}": trade, "{Trade}": capitalize(trade), "{art}": article(trade),
@@ -70,11 +80,12 @@ def variant(templates: list[str], who: str, pick: Column) -> Column:
             t = t[at + len(key) :]
         return F.concat(*parts)
 
-    n = len(templates)
-    chosen = F.when(F.lit(False), F.lit(""))
-    for i, t in enumerate(templates):
-        chosen = chosen.when(pick % n == i, phrase(t))
-    return chosen
+    return F.array(*map(phrase, templates))
+
+
+def variant(templates: list[str], phrases: Column, pick: Column) -> Column:
+    """One of the ``phrasings`` of ``templates`` by number."""
+    return F.element_at(phrases, (pick % len(templates) + 1).cast("int"))
 
 
 def pick_number(turn_id: Column, seed: int | None) -> Column:
@@ -91,28 +102,34 @@ def asked_trade(q: Column) -> Column:
     return F.when(~asked.isin("you", "there"), asked)
 
 
-def profession_check(q: Column, who: str, pick: Column) -> Column:
-    asked, actual = asked_trade(q), norm(F.col(f"{who}.profession"))
-    same = asked.isNotNull() & (actual.contains(asked) | asked.contains(actual))
-    return F.when(asked.isNotNull(), F.when(same, variant(rules.AYE_TRADE, who, pick)).otherwise(variant(rules.NAY_TRADE, who, pick)))
+def profession_check(q: Column, say: str, pick: Column) -> Column:
+    """``say`` is the column of phrasings and the trade, see ``state_features``; the same holds for the next three."""
+    asked, actual, yes, no = asked_trade(q), *(F.col(f"{say}.{x}") for x in ("trade", "aye", "nay"))
+    same = actual.contains(asked) | asked.contains(actual)
+    return F.when(asked.isNotNull(), F.when(same, variant(rules.AYE_TRADE, yes, pick)).otherwise(variant(rules.NAY_TRADE, no, pick)))
 
 
-def trade_answer(q: Column, who: str, pick: Column) -> Column:
-    trade, wares = norm(F.col(f"{who}.profession")), contains_any(q, rules.TRADE_WARES)
+def trade_answer(q: Column, say: str, pick: Column) -> Column:
+    trade, wares = F.col(f"{say}.trade"), contains_any(q, rules.TRADE_WARES)
+    plain = lambda templates: variant(templates, F.array(*map(F.lit, templates)), pick)
     answer = (
-        F.when(wares & trade.contains("brewer"), variant(rules.BREWER_WARES, who, pick))
-        .when(wares & trade.contains("baker"), variant(rules.BAKER_WARES, who, pick))
-        .otherwise(variant(rules.TRADE_ANSWERS, who, pick))
+        F.when(wares & trade.contains("brewer"), plain(rules.BREWER_WARES))
+        .when(wares & trade.contains("baker"), plain(rules.BAKER_WARES))
+        .otherwise(variant(rules.TRADE_ANSWERS, F.col(f"{say}.work"), pick))
     )
     return F.when(contains_any(q, rules.TRADE_PHRASES), answer)
 
 
-def name_answer(q: Column, who: str, pick: Column) -> Column:
-    return F.when(q.isin(rules.NAME_FOLLOW_UPS) | contains_any(q, rules.NAME_PHRASES), variant(rules.NAME_ANSWERS, who, pick))
+def name_answer(q: Column, say: str, pick: Column) -> Column:
+    return F.when(q.isin(rules.NAME_FOLLOW_UPS) | contains_any(q, rules.NAME_PHRASES), variant(rules.NAME_ANSWERS, F.col(f"{say}.name"), pick))
+
+
+def identity_answer(q: Column, who: str, say: str, pick: Column) -> Column:
+    return F.when(F.col(who).isNotNull(), F.coalesce(profession_check(q, say, pick), trade_answer(q, say, pick), name_answer(q, say, pick)))
 
 
-def identity_answer(q: Column, who: str, pick: Column) -> Column:
-    return F.when(F.col(who).isNotNull(), F.coalesce(profession_check(q, who, pick), trade_answer(q, who, pick), name_answer(q, who, pick)))
+#: The answers whose phrasings speak of the persona.
+PHRASED = {"aye": rules.AYE_TRADE, "nay": rules.NAY_TRADE, "work": rules.TRADE_ANSWERS, "name": rules.NAME_ANSWERS}
 
 
 def state_features(states: DataFrame, state: str = "state") -> DataFrame:
@@ -124,8 +141,12 @@ def state_features(states: DataFrame, state: str = "state") -> DataFrame:
         .withColumn("fact_norms", F.transform("facts", norm))
         .withColumn("nf", norm(F.array_join("facts", " ")))
         .withColumn("pairs", price_pairs(F.col("nf")))
+        .withColumn("price_lines", price_lines(F.col("pairs"), F.col("nf")))
         .withColumn("persona", persona(c))
+        .withColumn("persona_norms", persona_norms(F.col("persona")))
         .withColumn("who", F.coalesce("persona", persona_fallback(c)))
+        .withColumn("say", F.struct(norm(F.col("who.profession")).alias("trade"), *(phrasings(x, "who").alias(n) for n, x in PHRASED.items())))
+        .withColumn("practical", practical_state(F.col("s")))
         .withColumn("world", world_answer(F.col("s")))
         .withColumn("uncertain", uncertainty_answer(F.col("s")))
     )
@@ -142,15 +163,20 @@ def grounded(joined: DataFrame, seed: int | None = None, fallback: bool = True)
     df = with_claims(df.withColumn("said", F.coalesce("raw_text", F.lit("")) if fallback else F.lit(rules.UNKNOWN)), "said")
     pick, fact = F.col("pick"), F.col("fact")
     answers = {
-        "social": social_answer(q), "practical": practical_answer(q, s, fact), "capability": capability_answer(q, s), "world": F.col("world"),
-        "uncertainty": F.col("uncertain"), "numeric": numeric_answer(F.col("pairs"), F.col("nf"), q, fact), "identity": identity_answer(q, "who", pick),
+        "social": social_answer(q), "practical": practical_answer(F.col("practical"), q, s, fact), "capability": capability_answer(q, s), "world": F.col("world"),
+        "uncertainty": F.col("uncertain"), "numeric": numeric_answer(F.col("price_lines"), q, fact), "identity": identity_answer(q, "who", "say", pick),
         "fact": F.when(fact_trigger(q), lead_in_strip(fact)),
     }
-    steps = [F.when(c.isNotNull() & (c != ""), F.struct(F.lit(name).alias("rule"), c.alias("text"))) for name, c in answers.items()]
+    # each rule's answer is a column of its own, so that the cascade names it without repeating it
+    df = df.withColumns({"repaired": repaired()} | {f"answer_{n}": c for n, c in answers.items()})
+    given = [F.when(F.col(f"answer_{n}") != "", F.lit(n)) for n in answers]
     if fallback:
-        steps.insert(0, F.when(model_first(q), F.struct(F.lit("model_first").alias("rule"), repaired().alias("text"))))
-    steps.append(F.struct(F.lit("fallback").alias("rule"), repaired().alias("text")))
-    return df.withColumn("answer", F.coalesce(*steps)).withColumn("rule", F.col("answer.rule")).withColumn("text", F.col("answer.text"))
+        given.insert(0, F.when(model_first(q), F.lit("model_first")))
+    df = df.withColumn("rule", F.coalesce(*given, F.lit("fallback")))
+    text = F.col("repaired")
+    for n in answers:
+        text = F.when(F.col("rule") == n, F.col(f"answer_{n}")).otherwise(text)
+    return df.withColumn("text", text)
 
 
 def turns_with_states(turns: DataFrame, states: DataFrame) -> DataFrame:

@@ -58,11 +58,15 @@ def _coppers(label: Column, verb: str, value: Column) -> Column:
     return F.concat(label, F.lit(verb), value.cast("string"), F.lit(" coppers."))
 
 
-def cheapest_item(pairs: Column, q: Column) -> Column:
-    """The cheapest priced item, where the question asks for it."""
+def _cheapest(pairs: Column) -> Column:
     valid = F.filter(pairs, lambda p: p["value"].isNotNull())
     least = F.array_min(F.transform(valid, lambda p, i: F.struct(p["value"].alias("value"), i.alias("i"), p["label"].alias("label"))))
-    return F.when(q.contains("which is cheaper"), _coppers(capitalize(least["label"]), " is cheaper; it costs ", least["value"]))
+    return _coppers(capitalize(least["label"]), " is cheaper; it costs ", least["value"])
+
+
+def cheapest_item(pairs: Column, q: Column) -> Column:
+    """The cheapest priced item, where the question asks for it."""
+    return F.when(q.contains("which is cheaper"), _cheapest(pairs))
 
 
 def first_value(pairs: Column) -> Column:
@@ -70,20 +74,27 @@ def first_value(pairs: Column) -> Column:
     return F.try_element_at(F.filter(pairs, lambda p: p["value"].isNotNull()), F.lit(1))
 
 
-def affordability(pairs: Column, facts_norm: Column, q: Column) -> Column:
-    """Whether what one has is enough for the first price."""
+def _budget(pairs: Column, facts_norm: Column) -> Column:
     price = first_value(pairs)["value"]
     have = number_value(F.nullif(F.regexp_extract(facts_norm, r"have (\w+)", 1), F.lit("")))
     line = lambda head, tail: F.concat(F.lit(head), have.cast("string"), F.lit(f" coppers is {tail} for the "), price.cast("string"), F.lit("-copper price."))
-    asked = (q.contains("afford") | q.contains("pay")) & price.isNotNull() & have.isNotNull()
-    return F.when(asked, F.when(have >= price, line("Aye. ", "enough")).otherwise(line("Nay. ", "not enough")))
+    return F.when(price.isNotNull() & have.isNotNull(), F.when(have >= price, line("Aye. ", "enough")).otherwise(line("Nay. ", "not enough")))
 
 
-def unit_price(pairs: Column, q: Column) -> Column:
-    """The price of one of the first item sold in a number."""
+def affordability(pairs: Column, facts_norm: Column, q: Column) -> Column:
+    """Whether what one has is enough for the first price."""
+    return F.when(q.contains("afford") | q.contains("pay"), _budget(pairs, facts_norm))
+
+
+def _single(pairs: Column) -> Column:
     many = F.try_element_at(F.filter(pairs, lambda p: (p["quantity"] > 1) & p["value"].isNotNull()), F.lit(1))
     each = F.floor(many["value"] / many["quantity"]).cast("bigint")
-    return F.when(q.contains("one") | q.contains("single"), F.concat(F.lit("One "), _coppers(singularize(many["label"]), " costs ", each)))
+    return F.concat(F.lit("One "), _coppers(singularize(many["label"]), " costs ", each))
+
+
+def unit_price(pairs: Column, q: Column) -> Column:
+    """The price of one of the first item sold in a number."""
+    return F.when(q.contains("one") | q.contains("single"), _single(pairs))
 
 
 def first_price(pairs: Column) -> Column:
@@ -92,12 +103,21 @@ def first_price(pairs: Column) -> Column:
     return _coppers(capitalize(first["label"]), " costs ", first["value"])
 
 
-def numeric_answer(pairs: Column, facts_norm: Column, q: Column, fact: Column) -> Column:
-    """The answer to a question about numbers; ``fact`` is the fact to fall back to."""
-    pies = F.when(facts_norm.contains(rules.TWO_PIES) & q.contains(rules.ONE_PIE), F.lit(rules.ONE_PIE_ANSWER))
-    more = q.contains(rules.MORE) & facts_norm.contains(rules.BREAD_FIVE) & facts_norm.contains(rules.CHEESE_TWELVE)
-    answers = [
-        pies, F.when(more, F.lit(rules.MORE_ANSWER)), cheapest_item(pairs, q), affordability(pairs, facts_norm, q),
-        unit_price(pairs, q), first_price(pairs), fact,
-    ]
+def price_lines(pairs: Column, facts_norm: Column) -> Column:
+    """What answers about numbers take from the facts alone: ``struct(pies, more, cheapest, budget, single, first)``."""
+    more = facts_norm.contains(rules.BREAD_FIVE) & facts_norm.contains(rules.CHEESE_TWELVE)
+    lines = {
+        "pies": F.when(facts_norm.contains(rules.TWO_PIES), F.lit(rules.ONE_PIE_ANSWER)), "more": F.when(more, F.lit(rules.MORE_ANSWER)),
+        "cheapest": _cheapest(pairs), "budget": _budget(pairs, facts_norm), "single": _single(pairs), "first": first_price(pairs),
+    }
+    return F.struct(*(c.alias(n) for n, c in lines.items()))
+
+
+def numeric_answer(lines: Column, q: Column, fact: Column) -> Column:
+    """The answer to a question about numbers from ``price_lines``; ``fact`` is the fact to fall back to."""
+    asks = {
+        "pies": q.contains(rules.ONE_PIE), "more": q.contains(rules.MORE), "cheapest": q.contains("which is cheaper"),
+        "budget": q.contains("afford") | q.contains("pay"), "single": q.contains("one") | q.contains("single"),
+    }
+    answers = [*(F.when(asked, lines[n]) for n, asked in asks.items()), lines["first"], fact]
     return F.when(contains_any(q, rules.NUMERIC_GATE), F.coalesce(*answers))

@@ -51,26 +51,35 @@ def _has_trade(words: Column) -> Column:
     return F.arrays_overlap(words, F.array(*map(F.lit, rules.OCCUPATIONS)))
 
 
+def persona_norms(p: Column) -> Column:
+    """The normalized name, trade and home of a persona; an absent home is empty."""
+    return F.struct(norm(p["name"]).alias("name"), norm(p["profession"]).alias("trade"), norm(F.coalesce(p["home"], F.lit(""))).alias("home"))
+
+
 def with_claims(df: DataFrame, raw: str = "raw_text", who: str = "persona") -> DataFrame:
-    """``raw`` (cleaned) and the verdicts ``wrong_name``, ``wrong_profession``, ``wrong_home``; all false without a persona."""
+    """``raw`` (cleaned) and the verdicts ``wrong_name``, ``wrong_profession``, ``wrong_home``; all false without a persona.
+
+    ``persona_norms`` is taken from the column of that name, if there is one.
+    """
     df = df.withColumn("raw", clean(F.col(raw)))
-    text, name, trade, home = F.col("raw"), F.col(f"{who}.name"), norm(F.col(f"{who}.profession")), norm(F.coalesce(F.col(f"{who}.home"), F.lit("")))
-    own = norm(name)
+    if "persona_norms" not in df.columns:
+        df = df.withColumn("persona_norms", persona_norms(F.col(who)))
+    # the pattern differs from row to row, which only the SQL form of the function takes
+    title = F.expr(f"regexp_extract(raw, concat('(?i)\\\\b\\\\Q', {who}.name, '\\\\E\\\\s+the\\\\s+([a-z][a-z -]+)'), 1)")
+    # plain columns, as the optimizer would repeat a struct's fields wherever they are named
+    found = {n: norm(_group(F.col("raw"), p, 1)) for n, p in (("raw_named", CLAIM_NAME), ("raw_said", CLAIM_SELF), ("raw_worked", CLAIM_TRADE))}
+    df = df.withColumns(found | {"raw_titled": norm(F.nullif(title, F.lit("")))})
+    own, trade, home = (F.col(f"persona_norms.{x}") for x in ("name", "trade", "home"))
+    named, said, worked, titled = (F.col(f"raw_{x}") for x in ("named", "said", "worked", "titled"))
     false = F.lit(False)
 
-    named = norm(_group(text, CLAIM_NAME, 1))
     claim_name = F.when(named.isNotNull(), F.coalesce(F.element_at(F.split(named, " "), 1), F.lit("")) != own).otherwise(false)
 
-    said = norm(_group(text, CLAIM_SELF, 1))
     first = F.element_at(F.split(said, " "), 1)
     other = ~first.isin(rules.SAFE_FIRST_WORDS) & (first != own) & ~_has_trade(_words(said))
     claim_self = F.when(said.isNotNull(), first.isin(rules.NOBODY) | other).otherwise(false)
 
-    worked = norm(_group(text, CLAIM_TRADE, 1))
     claim_trade = F.coalesce(_has_trade(_words(worked)) & ~worked.contains(trade), false)
-    # the pattern differs from row to row, which only the SQL form of the function takes
-    title = F.expr(f"regexp_extract(raw, concat('(?i)\\\\b\\\\Q', {who}.name, '\\\\E\\\\s+the\\\\s+([a-z][a-z -]+)'), 1)")
-    titled = norm(F.nullif(title, F.lit("")))
     claim_title = F.when(_has_trade(_words(titled)), ~titled.contains(trade))
 
     places = F.expr("regexp_extract_all(raw, '" + CLAIM_HOME.replace("\\", "\\\\").replace("'", "\\'") + "', 1)")
@@ -81,12 +90,12 @@ def with_claims(df: DataFrame, raw: str = "raw_text", who: str = "persona") -> D
 
     claim_home = (home != "") & F.exists(places, elsewhere)
     there = F.col(who).isNotNull()
+    verdicts = {
+        "claim_name": there & F.coalesce(claim_name, false), "claim_self": there & F.coalesce(claim_self, false), "claim_trade": there & claim_trade,
+        "claim_title": F.when(there, claim_title), "wrong_home": there & F.coalesce(claim_home, false),
+    }
     return (
-        df.withColumn("claim_name", there & F.coalesce(claim_name, false))
-        .withColumn("claim_self", there & F.coalesce(claim_self, false))
-        .withColumn("claim_trade", there & claim_trade)
-        .withColumn("claim_title", F.when(there, claim_title))
-        .withColumn("wrong_home", there & F.coalesce(claim_home, false))
+        df.withColumns(verdicts)
         .withColumn("wrong_name", F.col("claim_name") | F.col("claim_self"))
         .withColumn("wrong_profession", F.coalesce("claim_title", "claim_trade"))
     )

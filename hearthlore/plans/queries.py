@@ -214,7 +214,7 @@ def queries() -> dict:
         "c3_numeric_gate": lambda s, d: fixtures.turns(s, d).select("turn_id", answers.numeric_gate(text.norm(F.col("player"))).alias("v")),
         "c4_turn_filter": lambda s, d: fixtures.turns(s, d).select("turn_id", sessions.turn_kind(F.col("player")).alias("kind")),
         "d1_social_answer": _on_turns(v=lambda: answers.social_answer(Q())),
-        "d2_practical_answer": _on_turns(v=lambda: answers.practical_answer(Q(), S(), F.col("fact"))),
+        "d2_practical_answer": _on_turns(v=lambda: answers.practical_answer(F.col("practical"), Q(), S(), F.col("fact"))),
         "d3_capability_answer": _on_turns(v=lambda: answers.capability_answer(Q(), S())),
         "d4_world_answer": lambda s, d: _docs(s, d).select("doc_id", answers.world_answer(text.norm(F.concat(F.when(F.col("doc_id") % 4 == 0, "The traveler needs food and rest. ").when(F.col("doc_id") % 4 == 1, "A monster blocks the ore tunnel! ").otherwise(""), TEXT()))).alias("v")),
         "d5_uncertainty_answer": _on_features(v=lambda: F.col("uncertain")),
@@ -223,12 +223,12 @@ def queries() -> dict:
         "d8_affordability": _on_turns(v=lambda: facts.affordability(PAIRS(), NF(), Q())),
         "d9_unit_price": _on_turns(v=lambda: facts.unit_price(PAIRS(), Q())),
         "d10_first_price": _on_turns(v=lambda: facts.first_price(PAIRS())),
-        "d11_numeric_answer": _on_turns(v=lambda: facts.numeric_answer(PAIRS(), NF(), Q(), F.col("fact"))),
-        "d12_profession_check": _on_turns(v=lambda: answers.profession_check(Q(), "who", F.col("pick"))),
-        "d13_trade_answer": _on_turns(v=lambda: answers.trade_answer(Q(), "who", F.col("pick"))),
-        "d14_name_answer": _on_turns(v=lambda: answers.name_answer(Q(), "who", F.col("pick"))),
-        "d15_identity_answer": _on_turns(v=lambda: answers.identity_answer(Q(), "who", F.col("pick"))),
-        "d16_variant_choice": _on_turns(SEED, v=lambda: F.col("pick") % 5, w=lambda: answers.name_answer(Q(), "who", F.col("pick"))),
+        "d11_numeric_answer": _on_turns(v=lambda: facts.numeric_answer(F.col("price_lines"), Q(), F.col("fact"))),
+        "d12_profession_check": _on_turns(v=lambda: answers.profession_check(Q(), "say", F.col("pick"))),
+        "d13_trade_answer": _on_turns(v=lambda: answers.trade_answer(Q(), "say", F.col("pick"))),
+        "d14_name_answer": _on_turns(v=lambda: answers.name_answer(Q(), "say", F.col("pick"))),
+        "d15_identity_answer": _on_turns(v=lambda: answers.identity_answer(Q(), "who", "say", F.col("pick"))),
+        "d16_variant_choice": _on_turns(SEED, v=lambda: F.col("pick") % 5, w=lambda: answers.name_answer(Q(), "say", F.col("pick"))),
         "e1_relevant_fact": _on_turns(v=lambda: F.col("fact")),
         "e2_greedy_pick": lambda s, d: sampling.greedy_pick(_scores(s, d)),
         "e3_temperature_softmax": lambda s, d: sampling.temperature_softmax(_scores(s, d), 0.7).select("row_id", "item_id", r6("p")),
