@@ -5,9 +5,11 @@ rejects, the n-gram Jaccard join keeps one document of each group of near duplic
 smallest identifier), personal data is replaced by its kind in brackets, and the texts are
 packed into windows of 2048 identifiers. All but the last return the columns of documents.
 
-Defined results: null texts are rejected by the first stage; repeated rows of one identifier
-are near duplicates of each other, one stays; rows without an identifier are linked with
-nothing and all stay; an empty table gives no rows.
+Defined results: null texts are rejected by the first stage; rows of one identifier are near
+duplicates of each other, whatever their texts: the one of the smallest text stays, of equal
+texts the one whose other columns, in the table's order, are smallest (nulls first); rows
+without an identifier are linked with nothing and all stay; extra columns, whatever their
+names, are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +32,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     n, distinct = kept.agg(F.count("*"), F.countDistinct("doc_id")).collect()[0]
     kept = kept.distinct()
     out = docs.join(F.broadcast(kept) if distinct <= ngram_join.ROUTES else kept, "doc_id", "left_semi")
-    out = out.dropDuplicates(["doc_id"]) if n > distinct else out
+    out = smallest(out) if n > distinct else out
     return out.unionByName(docs.where("doc_id IS NULL"))
 
 
+def smallest(docs: DataFrame) -> DataFrame:
+    """One row of each identifier, that of the smallest text; other columns that have an order decide between equal texts."""
+    names = [f"`{c}`" for c in docs.columns]
+    ordered = [n for n, (_, kind) in zip(names, docs.dtypes) if "map<" not in kind and "variant" not in kind]
+    kept = docs.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct("text", *ordered)).alias("kept"))
+    return kept.select("kept.*")
+
+
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without personal data, and their new lengths."""
     return pii.redact(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("long"))
