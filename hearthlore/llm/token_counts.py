@@ -5,7 +5,8 @@ heap of adjacent pairs; the pair with the best score, the leftmost of equals, is
 until none is left. The count is the number of symbols at the start less the merges; a
 character outside the vocabulary counts as its bytes. No piece of the vocabulary has a
 space mark behind another character or contains a line feed, so units are counted apart
-and a worker remembers their counts.
+and a worker remembers their counts. A model that isn't of this kind (another algorithm, a
+normalizer, user-defined pieces, no byte fallback, no dummy prefix) is counted by its library.
 
 Defined results: a null or empty text has no tokens; an empty table gives no rows; repeated
 rows stay; the longest unit takes n log n steps; other columns are ignored.
@@ -27,6 +28,46 @@ _units = re.compile(" *[^ \n]+| +|\n").findall
 _held: dict[str, "Counter"] = {}
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a protocol buffer message's fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(raw):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+        else:
+            size = {1: 8, 5: 4}[kind] if kind != 2 else varint()
+            yield number, raw[at : at + size]
+            at += size
+
+
+def counts_as_assumed(proto: bytes) -> bool:
+    """Whether a sentencepiece model merges pairs of the text as it stands, behind a dummy prefix, with bytes for unknown characters."""
+    pieces, trainer, normalizer = [], {}, {}
+    for number, value in _fields(proto):
+        if number == 1:
+            pieces.append(dict(_fields(value)).get(3, 1))
+        elif number == 2:
+            trainer = dict(_fields(value))
+        elif number == 3:
+            normalizer = dict(_fields(value))
+    merging = trainer.get(3, 1) == 2 and trainer.get(35, 0) == 1 and not trainer.get(24, 0)
+    as_it_stands = not normalizer.get(2, b"") and normalizer.get(3, 1) == 1 and normalizer.get(4, 1) == 0 and normalizer.get(5, 1) == 1
+    return merging and as_it_stands and not {4, 5} & set(pieces)  # neither user-defined nor unused ones
+
+
 class Counter:
     """Counts as the sentencepiece library gives them for a BPE model with byte fallback."""
 
@@ -34,6 +75,9 @@ class Counter:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = None if counts_as_assumed(model.serialized_model_proto()) else model
+        if self.library:
+            return
         usual = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))]
         self.scores = {model.id_to_piece(i): -model.get_score(i) for i in usual}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.scores):
@@ -71,6 +115,8 @@ class Counter:
 
     def count(self, text: str) -> int:
         """The number of tokens of a text."""
+        if self.library:
+            return len(self.library.encode(text))
         if not text:
             return 0
         text = text.replace(MARK, " ")

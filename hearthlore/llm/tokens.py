@@ -9,6 +9,7 @@ library's; a unit's identifiers are kept as little-endian bytes.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import sys
@@ -19,9 +20,18 @@ import numpy as np
 
 #: Unicode White_Space, as the library's pattern has it.
 SPACE = "\t-\r \x85\xa0  -     　"
-_AFTER_SPACE = re.compile(f"[{SPACE}] ").search
-#: What makes an ASCII text one whose units aren't just what single spaces and line feeds part.
-_ODD = ("  ", "\t ", "\n ", "\v ", "\f ", "\r ", " \n", "\n\n")
+#: Space characters other than the two that most texts have.
+_RARE = [c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c) and c not in " \n"]
+_TWO_SPACES = re.compile(f"[{SPACE}]{{2}}").search
+
+
+def _runs(text: str) -> bool:
+    """Whether space characters stand side by side, so that units aren't just what single spaces and line feeds part."""
+    if any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
+        return True
+    return any(c in text for c in _RARE) and _TWO_SPACES(text) is not None
+
+
 _UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]").findall
 #: Letters in every Unicode version, and units made of them and of ASCII, which need not pass through the library's splitter.
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -125,11 +135,37 @@ class Spaced(Missing):
         return out
 
 
+#: The pattern that units and pieces are made for; it is the one that ByteLevel has built in.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def splits_as_assumed(tokenizer) -> bool:
+    """Whether a tokenizer takes texts as they are, parts them by PATTERN alone and merges bytes."""
+    about = json.loads(tokenizer.to_str())
+    found = about["pre_tokenizer"] or {}
+    steps = found.get("pretokenizers", [found])
+    built_in = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    split = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Isolated", "invert": False}
+    has = lambda step, want: all(step.get(k) == v for k, v in want.items())
+    if len(steps) == 1:
+        parted = has(steps[0], built_in)
+    else:
+        parted = len(steps) == 2 and has(steps[0], split) and has(steps[1], built_in | {"use_regex": False})
+    plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in about["added_tokens"] if not t["special"])
+    merges = about["model"].get("type") == "BPE" and not about["model"].get("dropout")
+    return parted and plain and merges and about["normalizer"] is None and about["truncation"] is None and about["padding"] is None
+
+
 class Encoder:
-    """Texts to identifiers, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them."""
+    """Texts to identifiers, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them.
+
+    Units are remembered where the tokenizer parts texts by PATTERN and has no normalizer;
+    another tokenizer's texts go through the library whole.
+    """
 
     def __init__(self, tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.by_units = splits_as_assumed(tokenizer)
         self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
@@ -167,9 +203,9 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """A text's identifiers as bytes of ``dtype``."""
-        if any(s in text for s in self.special):
+        if not self.by_units or any(s in text for s in self.special):
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if any(x in text for x in _ODD) or not text.isascii() and _AFTER_SPACE(text):
+        if _runs(text):
             return b"".join(map(self.whole.__getitem__, _UNITS(text)))
         first, *rest = text.replace("\n", " \n").split(" ")  # a lone line feed is a piece of its own
         return (self.whole[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))

@@ -33,6 +33,16 @@ def test_base_spans():
     assert pii.base_spans("9" * 200_000 + "." + "1." * 50_000) is not None
 
 
+def test_long_runs_of_digits():
+    for n in (5000, 100_000):
+        for run in ("0" * n, "9" * n, "0" * n + "255", "0" * n + "256"):
+            short = run.lstrip("0")
+            ok = len(short) <= 3 and int(short or 0) <= 255
+            for text, at in ((run + ".1.1.1", 0), ("x 1." + run + ".0.0 y", 2), ("1.1.1." + run, 0)):
+                assert [s for s in pii.base_spans(text) if s[0] == "ip"] == ([("ip", at, at + len(run) + 6)] if ok else [])
+                assert pii.islands(text) is not None
+
+
 def want(rows):
     for i, t in rows:
         base = plain(t or "")

@@ -44,3 +44,18 @@ def test_stages(spark, docs, empty):
 def test_empty(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).collect() == []
+
+
+def test_repeated_identifiers_keep_the_smallest_text(spark):
+    """Forty rows of one identifier with different texts, dealt in several ways; extra columns of clashing names go along."""
+    text = lambda i, k: " ".join(f"w{i}x{j}" for j in range(8)) + f" t{k:02}"
+    rows = [(9, text(9, k), "en", "s", k, "z", {"a": k}, k) for k in range(40)] + [(8, text(8, 0), lang, "s", 1, "z", None, 7) for lang in ("fr", None, "de")] + [(None, text(7, k), "en", "s", k, "z", None, 1) for k in range(2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, m map<string,int>, `a.b` int"
+    found = set()
+    for parts in (1, 3, 7):
+        for order in ("n_chars", "text"):
+            frame = spark.createDataFrame(rows, schema).repartition(parts, order)
+            got = corpus_pipeline.drop_near_duplicates(spark, frame, SF)
+            assert got.columns == frame.columns
+            found.add(tuple(sorted((str(tuple(r)) for r in got.collect()))))
+    assert found == {tuple(sorted(str(r) for r in [rows[0], (8, text(8, 0), None, "s", 1, "z", None, 7), *rows[-2:]]))}

@@ -141,3 +141,76 @@ def test_op7_random_texts():
     for _ in range(3000):
         t = "".join(rng.choice(["the", "ing", " ", "  ", "\n", "é", "①", "ab", "==", "\r", "\t", "日", "\0", "▁", ";\r", "😀"]) for _ in range(rng.randrange(12)))
         assert count.count(t) == len(model.encode(t)), t
+
+
+def space_texts(n, seed):
+    """Texts rich in runs of every character that counts as white space."""
+    import random
+    import re
+
+    spaces = [c for c in map(chr, range(0x3001)) if re.match(f"[{tokens.SPACE}]", c)]
+    assert len(spaces) == 25
+    words, rng = ["a", "the", "Para", "indent", "é", "日本", "1", "22", "'s", "...", "x.", "(", "don't", "<|endoftext|>"], random.Random(seed)
+    for _ in range(n):
+        yield "".join(rng.choice(words) if rng.random() < 0.5 else rng.choice(spaces if rng.random() < 0.5 else [" ", "\n"]) * rng.choice([1, 1, 2, 3]) for _ in range(rng.randrange(1, 12)))
+
+
+def test_runs_of_any_white_space():
+    import sentencepiece
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    library, enc = Tokenizer.from_file(JSON), tokens.encoder(JSON)
+    ranks = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=tokens.read_ranks(RANKS), special_tokens={})
+    own = tokens.encoder(RANKS, public.PATTERN)
+    path = public.path("piece_bpe_32k.model")
+    model, count = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.counter(path)
+    for k, t in enumerate(["para\n\xa0\xa0indent", "a\r\nb", "a\n\t", *space_texts(50_000, 9)]):
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, t
+        if k % 2:
+            assert np.frombuffer(own.encode(t), own.dtype).tolist() == ranks.encode_ordinary(t), t
+        else:
+            assert count.count(t) == len(model.encode(t)), t
+
+
+def test_packing_of_mixed_white_space(spark):
+    rows = [(i, t) for i, t in enumerate(["para\n\xa0\xa0indent", *space_texts(500, 4)])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    check_packing(packing.pack_documents(frame, JSON, 64, with_ids=True).collect(), rows, 64)
+    path = common.new_path(spark, "t")
+    binary_ids.write_segments(frame, path, JSON)
+    assert [r.ids for r in sorted(binary_ids.read_documents(spark, path).collect(), key=lambda r: r.doc_id)] == [[*ids, 2] for ids in library_ids(t for _, t in rows)]
+
+
+def test_other_tokenizers_go_through_the_library(tmp_path):
+    import tiktoken
+    from tokenizers import Tokenizer, normalizers
+
+    texts = ["in 123456 (see) it's", "Hello  The World\n\nx", "", "é\xa0\xa0日本"]
+    for change in ("normalizer", "prefix", "words"):
+        t = Tokenizer.from_file(JSON if change != "words" else public.path("word_bpe_49k.json"))
+        if change == "normalizer":
+            t.normalizer = normalizers.Lowercase()
+        elif change == "prefix":
+            t.pre_tokenizer.add_prefix_space = True
+        enc = tokens.Encoder(t)
+        assert not enc.by_units
+        assert [np.frombuffer(enc.encode(x), enc.dtype).tolist() for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    pattern = r"\p{N}{1,3}|[^\p{N}]{1,4}"
+    enc, want = tokens.encoder(RANKS, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=tokens.read_ranks(RANKS), special_tokens={})
+    assert not enc.by_units and tokens.encoder(RANKS, public.PATTERN).by_units and tokens.encoder(JSON).by_units
+    assert [np.frombuffer(enc.encode(x), enc.dtype).tolist() for x in texts] == [want.encode_ordinary(x) for x in texts]
+
+
+def test_other_models_go_through_the_library(tmp_path):
+    import sentencepiece
+
+    raw = open(public.path("piece_bpe_32k.model"), "rb").read()
+    texts = ["Hello  The   World ", " x\n", "", "日 ①"]
+    # behind the model's own fields, a repeated message's fields are merged into it: a user-defined piece; extra white space removed
+    for more in (b"\x0a" + bytes([2 + 4 + 5 + 2]) + b"\x0a\x04 The" + b"\x15\0\0\0\0" + b"\x18\x04", b"\x1a\x02\x20\x01"):
+        path = tmp_path / f"{len(more)}.model"
+        path.write_bytes(raw + more)
+        model, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), token_counts.Counter(str(path))
+        assert own.library and [own.count(t) for t in texts] == [len(model.encode(t)) for t in texts]
+    assert token_counts.counter(public.path("piece_bpe_32k.model")).library is None
