@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_ids, bpe, katz, language_id, merkle, ngram_join, packing, pii, token_counts, topk
+from . import binary_ids, bpe, katz, language_id, manifest, merkle, ngram_join, packing, pii, token_counts, topk
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op8_katz": katz.op8_katz,
         "op9_top_k": topk.op9_top_k,
         "op10_binary_ids": binary_ids.op10_binary_ids,
+        "op12_manifest": manifest.op12_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that DuckDB can express."""
-    return {"op9_top_k": topk.OP9_SQL}
+    return {"op9_top_k": topk.OP9_SQL, "op12_manifest": manifest.OP12_SQL}
