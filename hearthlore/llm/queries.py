@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_ids, bpe, katz, language_id, manifest, merkle, ngram_join, packing, pii, token_counts, topk
+from . import best_fit, binary_ids, bpe, katz, language_id, manifest, merkle, ngram_join, packing, pii, token_counts, topk
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_katz": katz.op8_katz,
         "op9_top_k": topk.op9_top_k,
         "op10_binary_ids": binary_ids.op10_binary_ids,
+        "op11_best_fit": best_fit.op11_best_fit,
         "op12_manifest": manifest.op12_manifest,
     }
 
