@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows gathered before an output batch is handed back, and the bytes of payload that end a batch early.
@@ -102,6 +102,26 @@ def with_bases(found: DataFrame, part: str, count: str) -> DataFrame:
     return found.join(F.broadcast(before) if len(bases) <= BASES else before, part)
 
 
+def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with their place ``pos`` in their group, and the group's size ``n``; no group needs to fit a task.
+
+    Rows are ranged and sorted by group and order; a count for each partition and group, summed up
+    over the partitions before, gives what stands in front. Equal rows may be dealt to several
+    partitions. The rows are written twice: before the ranging, which reads them twice, and after it.
+    """
+    by = [group, *order, "tie"]
+    ties = written(rows, "rows").withColumn("tie", F.monotonically_increasing_id())
+    ranged = ties.repartitionByRange(*by).sortWithinPartitions(*by).drop("tie")
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranged = written(ranged.withColumn("part", F.spark_partition_id()).withColumn("row", row), "ranged")
+    runs = ranged.groupBy(F.col(group).alias("run_group"), F.col("part").alias("run_part")).agg(F.count("*").alias("own"), F.min("row").alias("first"))
+    w = Window.partitionBy("run_group")  # as many rows as a group has partitions
+    before = F.coalesce(F.sum("own").over(w.orderBy("run_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.withColumn("shift", before - F.col("first")).withColumn("n", F.sum("own").over(w)).drop("own", "first")
+    found = ranged.join(runs, (F.col("part") == F.col("run_part")) & F.col(group).eqNullSafe(F.col("run_group")))
+    return found.withColumn("pos", F.col("row") + F.col("shift")).drop("part", "row", "shift", "run_group", "run_part")
+
+
 def map_rows(df: DataFrame, schema: str, each: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
     """``each`` maps one partition's rows (tuples) to rows; both sides travel as bounded Arrow batches."""
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import map_rows, placed, written
 
 #: Rounds between two written tables of blocks.
 CUT = 6
@@ -75,30 +75,11 @@ def fold(own: str, siblings: list[tuple[str, str]]) -> str:
     return own
 
 
-def _placed(leaves: DataFrame) -> DataFrame:
-    """``grp, key, leaf`` and what else there is, with the leaf's place ``pos`` in its group and the group's size ``n``."""
-    order = ["grp", "key", "leaf", "tie"]
-    ties = written(leaves, "leaves").withColumn("tie", F.monotonically_increasing_id())  # equal rows needn't share a partition
-    ranged = ties.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
-    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    ranged = written(ranged.withColumn("part", F.spark_partition_id()).withColumn("row", row), "ranged")
-    runs = ranged.groupBy("grp", "part").agg(F.count("*").alias("own"), F.min("row").alias("first"))
-    # a row of the window is a partition's count: as many as partitions for the largest group
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("grp")
-    before = F.coalesce(F.sum("own").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.withColumn("shift", before - F.col("first")).withColumn("n", F.sum("own").over(w)).drop("own", "first")
-    runs = runs.withColumnsRenamed({"grp": "run_grp", "part": "run_part"})
-    found = ranged.join(runs, F.col("part").eqNullSafe(F.col("run_part")) & F.col("grp").eqNullSafe(F.col("run_grp")))
-    return found.withColumn("pos", F.col("row") + F.col("shift")).drop("part", "row", "shift", "run_grp", "run_part")
-
-
-def _blocks(placed: DataFrame, carried: str | None, fanout: int, height: int) -> DataFrame:
-    """One row a block of ``fanout ** height`` places, written: its leaves in order and its subtree's root."""
+def _blocks(leaves: DataFrame, carried: str | None, fanout: int, height: int) -> DataFrame:
+    """One row a block of ``fanout ** height`` leaves, written: its leaves in order and its subtree's root."""
     size = fanout**height
     kept = ["pos", "key", "leaf", *([carried] if carried else [])]
-    rows = placed.groupBy("grp", "n", F.expr(f"pos div {size}").alias("block")).agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("rows"))
+    rows = placed(leaves, "grp", ["key", "leaf"]).groupBy("grp", "n", F.expr(f"pos div {size}").alias("block")).agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("rows"))
     arrays = rows.select("grp", "n", "block", *[F.col(f"rows.{c}").alias(c) for c in kept[1:]])
     kinds = dict(arrays.dtypes)
 
@@ -141,7 +122,7 @@ def tree(leaves: DataFrame, carried: str | None = None, fanout: int = 3, height:
     """Blocks with what stands above them, and ``grp, subroot`` of each group, from ``grp, key, leaf`` and a ``carried`` column."""
     if fanout < 2 or height < 1:
         raise ValueError("a tree needs a fanout of at least 2 and blocks of at least one level")
-    blocks = _blocks(_placed(leaves), carried, fanout, height)
+    blocks = _blocks(leaves, carried, fanout, height)
     ends = blocks.select("grp", "block", F.expr(f"(n - 1) div {fanout**height} + 1").alias("n_blocks"), "root")
     upper = butterfly(ends, fanout)
     subroots = upper.where("block = 0").select("grp", "subroot")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, binary_ids, bpe, katz, language_id, manifest, merkle, ngram_join, packing, pii, token_counts, topk
+from . import best_fit, binary_ids, bpe, conversations, katz, language_id, manifest, merkle, ngram_join, packing, pii, token_counts, topk
 
 
 def queries() -> dict:
@@ -20,9 +20,10 @@ def queries() -> dict:
         "op10_binary_ids": binary_ids.op10_binary_ids,
         "op11_best_fit": best_fit.op11_best_fit,
         "op12_manifest": manifest.op12_manifest,
+        "op13_repair": conversations.op13_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that DuckDB can express."""
-    return {"op9_top_k": topk.OP9_SQL, "op12_manifest": manifest.OP12_SQL}
+    return {"op9_top_k": topk.OP9_SQL, "op12_manifest": manifest.OP12_SQL, "op13_repair": conversations.OP13_SQL}
