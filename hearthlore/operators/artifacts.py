@@ -17,18 +17,24 @@ def manifest_scan(lines: DataFrame) -> DataFrame:
     return lines.where(v != "").select(F.lower(part(1)).alias("digest"), strip(part(2)).alias("rel"), (~v.rlike(pattern)).alias("malformed"))
 
 
-def integrity_verify(manifest: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """``rel, status`` of each well-formed manifest row: OK, FAIL or MISSING; contents are hashed before the join."""
-    sums = artifacts.select(F.col("path").alias("rel"), F.sha2(F.col("content").cast("binary"), 256).alias("found"))
+def content_digests(artifacts: DataFrame) -> DataFrame:
+    """``path, length, digest`` of a table of ``path`` and ``content``; files are hashed by ``sources.digests`` without one."""
+    content = F.col("content").cast("binary")
+    return artifacts.select("path", F.octet_length(content).cast("long").alias("length"), F.sha2(content, 256).alias("digest"))
+
+
+def integrity_verify(manifest: DataFrame, digests: DataFrame) -> DataFrame:
+    """``rel, status`` of each well-formed manifest row: OK, FAIL or MISSING, from ``path, digest`` of what there is."""
+    sums = digests.select(F.col("path").alias("rel"), F.col("digest").alias("found"))
     rows = manifest.where("NOT malformed").join(sums, "rel", "left")
     status = F.when(F.col("found").isNull(), "MISSING").when(F.col("found") == F.col("digest"), "OK").otherwise("FAIL")
     return rows.select("rel", status.alias("status"))
 
 
-def integrity_summary(manifest: DataFrame, artifacts: DataFrame) -> DataFrame:
+def integrity_summary(manifest: DataFrame, digests: DataFrame) -> DataFrame:
     """Counts by status and whether all is well: no malformed line and only OK rows; an empty manifest passes."""
     bad = manifest.where("malformed").agg(F.count("*").alias("n")).select(F.lit("MALFORMED").alias("status"), "n")
-    by = integrity_verify(manifest, artifacts).groupBy("status").agg(F.count("*").alias("n")).unionByName(bad)
+    by = integrity_verify(manifest, digests).groupBy("status").agg(F.count("*").alias("n")).unionByName(bad)
     n = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(f"n_{s.lower()}")
     out = by.agg(*map(n, ("OK", "FAIL", "MISSING", "MALFORMED")))
     return out.withColumn("passed", F.expr("n_fail + n_missing + n_malformed = 0"))

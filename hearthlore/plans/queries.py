@@ -85,8 +85,8 @@ def manifest(spark, d):
     return artifacts.manifest_scan(fixtures.manifest_lines(spark, d))
 
 
-def _artifact(spark, d):
-    return fixtures.given(spark, d, fixtures.ARTIFACT, "documents")
+def _digests(spark, d):
+    return artifacts.content_digests(fixtures.given(spark, d, fixtures.ARTIFACT, "documents"))
 
 
 def declared_checkpoint(spark, d):
@@ -188,8 +188,8 @@ def queries() -> dict:
     """By name, functions of a session and a folder of tables."""
     return {
         "a1_manifest_scan": manifest,
-        "a2_integrity_verify": lambda s, d: artifacts.integrity_verify(manifest(s, d), _artifact(s, d)),
-        "a2_integrity_summary": lambda s, d: artifacts.integrity_summary(manifest(s, d), _artifact(s, d)),
+        "a2_integrity_verify": lambda s, d: artifacts.integrity_verify(manifest(s, d), _digests(s, d)),
+        "a2_integrity_summary": lambda s, d: artifacts.integrity_summary(manifest(s, d), _digests(s, d)),
         "a3_bundle_discover": lambda s, d: artifacts.bundle_discover(fixtures.given(s, d, fixtures.LISTING, "documents")),
         "a4_checkpoint_select": lambda s, d: artifacts.checkpoint_select(fixtures.given(s, d, fixtures.MODEL_FILES, "documents")),
         "a4_declared_checkpoint": declared_checkpoint,

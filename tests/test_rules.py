@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hearthlore.functions import answers, facts, persona, rules, text
 from hearthlore.operators import artifacts, evaluate, prompts, sampling, sessions
-from hearthlore.sources import files
+from hearthlore.sources import digests, files
 
 
 def one(spark, value, f, kind="string"):
@@ -174,8 +174,10 @@ def test_bundle_of_real_files(spark, tmp_path):
     (root / "SUMS").write_text("\n".join(sums))
     manifest = artifacts.manifest_scan(files.manifest_text(spark, str(root / "SUMS")))
     found = files.artifacts(spark, str(root))
-    assert sorted(map(tuple, artifacts.integrity_verify(manifest, found).collect())) == [("gone.pt", "MISSING"), ("model/final.pt", "FAIL"), ("model/own.pt", "OK")]
-    assert artifacts.integrity_summary(manifest, found).collect()[0].passed is False
+    sums = digests.file_digests(spark, str(root), piece_bytes=3)
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, artifacts.content_digests(found).collect()))
+    assert sorted(map(tuple, artifacts.integrity_verify(manifest, sums).collect())) == [("gone.pt", "MISSING"), ("model/final.pt", "FAIL"), ("model/own.pt", "OK")]
+    assert artifacts.integrity_summary(manifest, sums).collect()[0].passed is False
     listing = files.listing(spark, str(tmp_path)).select(F.lit("start").alias("start"), "path")
     assert [(r.root, r.status) for r in artifacts.bundle_discover(listing).collect()] == [("outer/release", "grandchild")]
     text_of = found.where("path = 'manifest.json'").select(F.lit("b").alias("bundle"), F.decode("content", "UTF-8").alias("manifest"))
