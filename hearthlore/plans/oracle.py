@@ -396,6 +396,7 @@ def oracle_sql() -> dict[str, str]:
         "g1_grounded_response_seeded": answers(SEED),
         "g2_respond": respond("a.text"),
         "g2_respond_raw_model": respond("coalesce(a.raw_text, '')"),
+        "g2_respond_late_text": f"WITH {grounded()} SELECT turn_id, text, coalesce(raw_text, '') AS raw_text, rule, text <> coalesce(raw_text, '') AS grounded_applied FROM a",
         "g3_respond_no_fallback": answers(None, False),
         "g4_marker_check": f"WITH {STATE_CTE}, turn AS ({fx.TURN}) SELECT DISTINCT token FROM (SELECT unnest(string_split({norm('player')}, ' ')) AS token FROM turn) WHERE token <> '' AND token NOT IN (SELECT unnest(string_split({norm('p_name')}, ' ')) FROM part) AND token NOT IN (SELECT unnest(string_split({norm('state')}, ' ')) FROM states)",
         "h1_score_case": f"WITH {SCORED} SELECT turn_id, reasons = '' AS passed FROM c",

@@ -260,6 +260,7 @@ def queries() -> dict:
         "s1_session_replay": lambda s, d: replayed(s, d).select("session_id", "turn_id", "kind", "state"),
         "s2_transcript_render": transcripts,
         "s3_respond_stream": streams.respond_stream_query,
+        "g2_respond_late_text": streams.late_text_query,
         "s4_session_state_stream": streams.session_stream_query,
         "j1_fallback_hook": streams.fallback_hook_query,
     }

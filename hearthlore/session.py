@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +38,19 @@ def ship_package(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read lazily."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder name in the folder that driver and executors share; on one machine, where none is named, a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    at = at or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, so that what follows neither repeats nor depends on it."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

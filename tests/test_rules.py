@@ -186,15 +186,6 @@ def test_bundle_of_real_files(spark, tmp_path):
         assert [(r.path, r.how) for r in artifacts.checkpoint_select(rows).collect()] == [want]
 
 
-def test_the_hook_asks_once(spark):
-    """Open turns reach the model in one pass over the turns."""
-    from hearthlore.streaming import turns
-
-    plan = turns.fallback_hook_query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") >= 1 and plan.count("event_id#") and plan.count("Union") == 0
-    assert len(re.findall(r"FileScan parquet \[event_id", plan)) <= 1
-
-
 def test_encode_content_with_a_tokenizer(spark):
     df = spark.createDataFrame([("ab  c",), (None,), ("",)], "t string")
     got = df.select(prompts.encode_content(F.col("t"), lambda: list).alias("x")).collect()
