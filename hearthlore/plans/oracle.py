@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import rules
 from ..functions.text import FOLDS
 from ..sources import fixtures as fx
-from .queries import SEED
+from .queries import PIECE, SEED
 
 WS = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -325,7 +325,7 @@ def oracle_sql() -> dict[str, str]:
     parts = lambda p: f"SELECT npc_id, {p}.name AS name, {p}.profession AS profession, {p}.home AS home"
     keep = "CASE WHEN npc_id % 5 = 0 THEN regexp_replace(state, 'You are an? ', 'You keep a ', 'g') ELSE state END"
     world_text = "CASE WHEN doc_id % 4 = 0 THEN 'The traveler needs food and rest. ' WHEN doc_id % 4 = 1 THEN 'A monster blocks the ore tunnel! ' ELSE '' END || text"
-    return {
+    found = {
         "a1_manifest_scan": f"WITH {MANIFEST} SELECT digest, rel, malformed FROM m",
         "a2_integrity_verify": f"WITH {MANIFEST} SELECT rel, status FROM st",
         "a2_integrity_summary": f"WITH {MANIFEST} SELECT *, n_fail + n_missing + n_malformed = 0 AS passed FROM (SELECT count(*) FILTER (status = 'OK') AS n_ok, count(*) FILTER (status = 'FAIL') AS n_fail, count(*) FILTER (status = 'MISSING') AS n_missing, (SELECT count(*) FROM m WHERE malformed) AS n_malformed FROM st)",
@@ -415,3 +415,7 @@ def oracle_sql() -> dict[str, str]:
         "s3_respond_stream": answers(),
         "j1_fallback_hook": hook,
     }
+    for same, plain in (("s1_replay_any", "s1_session_replay"), ("e3_softmax_any", "e3_temperature_softmax"), ("e4_nucleus_any", "e4_nucleus_filter"), ("e5_draw_any", "e5_categorical_draw")):
+        found[same] = found[plain]
+    found["s2_transcript_pieces"] = f"SELECT session_id, piece, substr(transcript, piece * {PIECE} + 1, {PIECE}) AS text FROM (SELECT session_id, transcript, unnest(range((length(transcript) + {PIECE} - 1) // {PIECE})) AS piece FROM ({found['s2_transcript_render']}))"
+    return found

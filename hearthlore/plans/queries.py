@@ -14,6 +14,8 @@ from ..sources import fixtures
 from ..streaming import turns as streams
 
 SEED = 5042
+#: Characters of a transcript's piece.
+PIECE = 1000
 
 
 def _docs(spark, d):
@@ -159,15 +161,22 @@ def clipped(spark, d):
     return prompts.completion_clip(_packed(spark, d), F.size("prompt")).select("turn_id", F.size("clipped").alias("tokens"), F.array_join("clipped", " ").alias("clipped"), "stop")
 
 
-def replayed(spark, d):
+def _session_log(spark, d):
     start = _states(spark, d).select("npc_id", F.col("state").alias("start"))
-    log = fixtures.turns(spark, d).join(start, "npc_id", "left").withColumn("start_state", F.when(F.col("session_id") % 3 != 0, F.col("start")))
-    return sessions.session_replay(log)
+    return fixtures.turns(spark, d).join(start, "npc_id", "left").withColumn("start_state", F.when(F.col("session_id") % 3 != 0, F.col("start")))
 
 
-def transcripts(spark, d):
+def replayed(spark, d):
+    return sessions.session_replay(_session_log(spark, d))
+
+
+def _log(spark, d):
     answered = answers.grounded(_joined(spark, d)).where(sessions.turn_kind(F.col("player")) == "turn")
-    return sessions.transcript_render(answered.where("state IS NOT NULL").select("session_id", "ts", "turn_id", "player", "text", "state"))
+    return answered.where("state IS NOT NULL").select("session_id", "ts", "turn_id", "player", "text", "state")
+
+
+def transcripts(spark, d):
+    return sessions.transcript_render(_log(spark, d))
 
 
 def markers(spark, d):
@@ -234,6 +243,9 @@ def queries() -> dict:
         "e3_temperature_softmax": lambda s, d: sampling.temperature_softmax(_scores(s, d), 0.7).select("row_id", "item_id", r6("p")),
         "e4_nucleus_filter": lambda s, d: sampling.nucleus_filter(_scores(s, d), 0.9).select("row_id", "item_id", "rank", r6("p")),
         "e5_categorical_draw": lambda s, d: sampling.categorical_draw(_scores(s, d), SEED, 0.9),
+        "e3_softmax_any": lambda s, d: sampling.softmax_any(_scores(s, d), 0.7).select("row_id", "item_id", r6("p")),
+        "e4_nucleus_any": lambda s, d: sampling.nucleus_any(_scores(s, d), 0.9).select("row_id", "item_id", "rank", r6("p")),
+        "e5_draw_any": lambda s, d: sampling.draw_any(_scores(s, d), SEED, 0.9),
         "f1_claim_name": _claims("claim_name"),
         "f2_claim_self": _claims("claim_self"),
         "f3_claim_trade": _claims("claim_trade"),
@@ -258,7 +270,9 @@ def queries() -> dict:
         "i3_prompt_trim_flags": lambda s, d: _packed(s, d).select("turn_id", "state_trimmed", "player_trimmed"),
         "i4_completion_clip": clipped,
         "s1_session_replay": lambda s, d: replayed(s, d).select("session_id", "turn_id", "kind", "state"),
+        "s1_replay_any": lambda s, d: sessions.replay_any(_session_log(s, d)).select("session_id", "turn_id", "kind", "state"),
         "s2_transcript_render": transcripts,
+        "s2_transcript_pieces": lambda s, d: sessions.transcript_pieces(_log(s, d), PIECE),
         "s3_respond_stream": streams.respond_stream_query,
         "g2_respond_late_text": streams.late_text_query,
         "s4_session_state_stream": streams.session_stream_query,
