@@ -415,7 +415,11 @@ def oracle_sql() -> dict[str, str]:
         "s3_respond_stream": answers(),
         "j1_fallback_hook": hook,
     }
-    for same, plain in (("s1_replay_any", "s1_session_replay"), ("e3_softmax_any", "e3_temperature_softmax"), ("e4_nucleus_any", "e4_nucleus_filter"), ("e5_draw_any", "e5_categorical_draw")):
+    found["d1_rule_table"] = per_turn(
+        social=D1, practical=first_rule(rules.PRACTICAL), capability=D3, world="world", uncertainty="uncertain", antidote=f"coalesce({holds(rules.ANTIDOTE)}, false)",
+        model_first=MODEL_FIRST, fact_trigger=any_in("q", rules.FACT_TRIGGERS), numeric_gate=any_in("q", rules.NUMERIC_GATE),
+    )
+    for same, plain in (("e1_fact_index", "e1_relevant_fact"), ("s1_replay_any", "s1_session_replay"), ("e3_softmax_any", "e3_temperature_softmax"), ("e4_nucleus_any", "e4_nucleus_filter"), ("e5_draw_any", "e5_categorical_draw")):
         found[same] = found[plain]
     found["s2_transcript_pieces"] = f"SELECT session_id, piece, substr(transcript, piece * {PIECE} + 1, {PIECE}) AS text FROM (SELECT session_id, transcript, unnest(range((length(transcript) + {PIECE} - 1) // {PIECE})) AS piece FROM ({found['s2_transcript_render']}))"
     return found

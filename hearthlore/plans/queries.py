@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, facts, persona, rules, text
-from ..operators import artifacts, evaluate, prompts, sampling, sessions
+from ..operators import artifacts, evaluate, prompts, retrieval, rulebook, sampling, sessions
 from ..session import table
 from ..sources import fixtures
 from ..streaming import turns as streams
@@ -179,6 +179,20 @@ def transcripts(spark, d):
     return sessions.transcript_render(_log(spark, d))
 
 
+def ruled(spark, d):
+    """The answers and gates of the rule table for all turns."""
+    states = _states(spark, d).select("npc_id", text.norm(F.col("state")).alias("s"))
+    turns = fixtures.turns(spark, d).select("turn_id", "npc_id", text.norm(F.col("player")).alias("q")).join(states, "npc_id", "left")
+    found = rulebook.rule_answers(turns, rulebook.Rulebook(rulebook.fixed_rules(spark)), rulebook.ANSWERING + rulebook.GATES)
+    return found.select("turn_id", *rulebook.ANSWERING, *(F.col(g).isNotNull().alias(g) for g in rulebook.GATES))
+
+
+def retrieved(spark, d):
+    """The relevant facts of all turns by the inverted index."""
+    turns = fixtures.turns(spark, d).select("turn_id", "npc_id", text.norm(F.col("player")).alias("q"))
+    return retrieval.retrieve(turns, fact_table(spark, d).select("npc_id", "idx", "fact", "norm")).select("turn_id", F.col("fact").alias("v"))
+
+
 def markers(spark, d):
     """Words of questions that no document's source or language names and no part name has."""
     asked = fixtures.turns(spark, d).select(F.explode(F.split(text.norm(F.col("player")), " ")).alias("token")).where("token <> ''").distinct()
@@ -239,6 +253,8 @@ def queries() -> dict:
         "d15_identity_answer": _on_turns(v=lambda: answers.identity_answer(Q(), "who", "say", F.col("pick"))),
         "d16_variant_choice": _on_turns(SEED, v=lambda: F.col("pick") % 5, w=lambda: answers.name_answer(Q(), "say", F.col("pick"))),
         "e1_relevant_fact": _on_turns(v=lambda: F.col("fact")),
+        "d1_rule_table": ruled,
+        "e1_fact_index": retrieved,
         "e2_greedy_pick": lambda s, d: sampling.greedy_pick(_scores(s, d)),
         "e3_temperature_softmax": lambda s, d: sampling.temperature_softmax(_scores(s, d), 0.7).select("row_id", "item_id", r6("p")),
         "e4_nucleus_filter": lambda s, d: sampling.nucleus_filter(_scores(s, d), 0.9).select("row_id", "item_id", "rank", r6("p")),
