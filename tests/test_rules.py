@@ -67,6 +67,7 @@ def test_repair(spark):
     assert repair(spark, "Your name is M (x. You are a baker.", "Call me M.") == "I am M (x, a baker."
 
 
+# The twelve prompts and what has to answer them.
 PROMPTS = [
     ("Your name is Elara. You are a weaver from Yew.", "Tell me plainly, who art thou?", "identity", "I am Elara, a weaver from Yew."),
     ("Your name is Corin. You are a mason from Trinsic.", "What town dost thou call home?", "model_first", "raw"),
