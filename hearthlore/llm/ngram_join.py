@@ -33,7 +33,9 @@ Equal sets are one class (size and a 96-bit hash), which each task emits once. L
 same members are one list, with a weight. In each list the document that meets most others is
 the hub, and each document is verified against the hub with which it shares most. Then what is
 left in a list outside its largest component meets the list's documents of other components,
-by early enough signatures alone, and these pairs are verified. Verification compares the sets of whole texts: hubs are salted, and
+by early enough signatures alone: in the smaller set they are within its first ninth, so rows
+behind that are joined only with such early ones, and only with sets of like size. These pairs
+are verified. Verification compares the sets of whole texts: hubs are salted, and
 members stream past their hub. A list of more than CHUNK members is dealt to several tasks wherever
 its members are joined: each member to one part, what belongs to the list to all parts.
 
@@ -317,7 +319,7 @@ def _possible(n: str, m: str, weight: str) -> str:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
-    """Those of ``pairs`` (``hub``, ``id``) whose whole texts' sets are similar enough, as ``a, b``."""
+    """Those of ``pairs`` (``hub``, ``id``) whose whole texts' sets are similar enough, as ``a, b``, written."""
     spark = docs.sparkSession
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int"))
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
@@ -345,7 +347,9 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
-    return small_batches(sent).mapInArrow(run, schema)
+    links = written(small_batches(sent).mapInArrow(run, schema), "links")
+    drop(routes)
+    return links
 
 
 class Parts:
@@ -371,21 +375,43 @@ class Parts:
         return self._joined(rows).withColumn("salt", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
 
 
+def sides(members: DataFrame, parts: Parts) -> list[tuple[DataFrame, DataFrame]]:
+    """Who meets whom of ``list, salt, id, n, unit, component, largest``: by ``list, salt, band``, smaller sets and larger ones.
+
+    Of two sets that can be linked the smaller one, of n shingles, has its early units among
+    the first n - ceil(8 n / 9) + 1, so a row behind those meets nothing as the smaller: late rows
+    never meet late rows. Bands are powers of 5/4 of the size, and the larger set is in the bands
+    of its own size and of four fifths of it. Who is outside the list's largest component meets the
+    rest, those inside don't meet each other; it goes to all parts of the list, the rest to one.
+    """
+    band = lambda n: F.log(n) / F.log(F.lit(1.25))
+    small = members.where("unit <= n - ((8 * n + 8) div 9 - 1)").withColumn("band", F.floor(band(F.col("n"))))
+    large = members.withColumn("band", F.explode(F.sequence(F.floor(band(0.8 * F.col("n")) - 1e-9), F.floor(band(F.col("n")) + 1e-9))))
+    outside = F.col("component") != F.col("largest")
+    spread = lambda df: parts.all(df.where(outside).drop("salt"))
+    return [(spread(small), large), (small.where(~outside), spread(large))]
+
+
 def meetings(lists: DataFrame, label: DataFrame, parts: Parts | None = None) -> DataFrame:
-    """Pairs ``x``, ``y`` of a list's members (``list, id, n, unit``) that ``label`` (``id, component``) has in different components.
+    """Pairs ``hub, id`` of a list's members (``list, id, n, unit``) that ``label`` (``id, component``) has in different components, written.
 
-    They meet only in signatures that are early enough for both. Who is outside the list's
-    largest component meets the rest, so those inside don't meet each other.
+    They meet only in signatures that are early enough for both, see ``sides``.
     """
     known = lists.join(label, "id", "left").select("list", "id", "n", "unit", F.coalesce("component", "id").alias("component"))
     shares = known.groupBy("list", "component").agg(F.count("*").alias("k"))
     largest = shares.groupBy("list").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("several"))
     parts = parts or Parts(lists)
     rest = written(parts.one(known).join(parts.all(largest.where("several > 1").drop("several")), ["list", "salt"]), "open")
-    x, y = parts.all(rest.where("component <> largest").drop("salt")).alias("x"), rest.alias("y")
-    need = "(4 * (x.n + y.n) + 8) div 9 - 1"
-    return x.join(y, F.expr(f"""x.list = y.list AND x.salt = y.salt AND x.component <> y.component AND (y.component = y.largest OR x.id < y.id)
-        AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) AND x.unit <= x.n - ({need}) AND y.unit <= y.n - ({need})"""))
+    need = "(4 * (s.n + l.n) + 8) div 9 - 1"
+    fits = f"""s.list = l.list AND s.salt = l.salt AND s.band = l.band AND s.component <> l.component
+        AND 5 * s.n >= 4 * l.n AND s.unit <= s.n - ({need}) AND l.unit <= l.n - ({need}) AND """
+    # sets of one size meet once, from the one that is outside, or has the smaller identifier if both are
+    once = ["(s.n < l.n OR s.n = l.n AND (l.component = l.largest OR s.id < l.id))", "s.n < l.n"]
+    found = [x.alias("s").join(y.alias("l"), F.expr(fits + c)) for (x, y), c in zip(sides(rest, parts), once)]
+    pairs = [df.select(F.least("s.id", "l.id").alias("hub"), F.greatest("s.id", "l.id").alias("id")) for df in found]
+    out = written(pairs[0].unionByName(pairs[1]).distinct(), "met")
+    drop(rest)
+    return out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,23 +440,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     first = written(stars.groupBy("id").agg(F.max_by("hub", F.struct("weight", -F.col("hub"))).alias("hub")), "stars")
     of_kind = lambda kind, name: emitted.where(F.col("kind") == kind).join(nodes, "cls").select("key", F.col("id").alias(name))
     short = of_kind(WHOLE, "hub").join(of_kind(LESS_ONE, "id"), "key").select("id", "hub").distinct()
-    links = written(verified(docs, first.unionByName(short).distinct()), "links")
+    links = verified(docs, first.unionByName(short).distinct())
     label = written(components(links), "labels")
     drop(emitted)
 
-    pairs = meetings(lists, label, parts).select(F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id")).distinct()
+    met = meetings(lists, label, parts)
     tried = first.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id"))
-    pairs = written(pairs.join(tried, ["hub", "id"], "left_anti"), "pairs")
-    more = written(verified(docs, pairs), "links")
+    pairs = written(met.join(tried, ["hub", "id"], "left_anti"), "pairs")
+    more = verified(docs, pairs)
+    drop(lists, parts.long, first, label, met, pairs)
 
     # rows that repeat an identifier with another set are linked by it
     by_id = own.where("n_shingles > 0").join(nodes, "cls").select(F.col("doc_id").alias("i"), F.col("id").alias("b"))
     several = by_id.groupBy("i").agg(F.min("b").alias("a"), F.max("b").alias("c")).where("a < c").select("i", "a")
     by_id = by_id.join(several, "i").where("a < b").select("a", "b").distinct()
     label = components(links.unionByName(more).unionByName(by_id))
+    drop(links, more)
     final = nodes.select("cls", "id").join(label, "id", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
-    out = own.join(final, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out
+    linked = own.where("n_shingles > 0").join(final, "cls", "left").select("doc_id", "n_shingles", "component_id")
+    empty = own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))  # all of one class, which links nothing
+    return linked.unionByName(empty).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

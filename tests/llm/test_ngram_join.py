@@ -115,11 +115,16 @@ def test_sets_below_the_threshold_hardly_meet(spark):
     for (i, _), own in zip(rows, sets):
         for keys, units in ngram_join.signatures(own, level)[:2]:
             lists += [(str(k).encode(), i, len(own), u) for k, u in zip(keys.tolist(), units.tolist())]
-    met = ngram_join.meetings(spark.createDataFrame(lists, "list binary, id long, n int, unit int"), spark.createDataFrame([], "id long, component long"))
+    signed = spark.createDataFrame(lists, "list binary, id long, n int, unit int")
+    met = ngram_join.meetings(signed, spark.createDataFrame([], "id long, component long"))
+    members = signed.selectExpr("*", "0 AS salt", "id AS component", "max(id) OVER (PARTITION BY list) AS largest")
+    compared = sum(x.select("list", "salt", "band").join(y.select("list", "salt", "band"), ["list", "salt", "band"]).count() for x, y in ngram_join.sides(members, ngram_join.Parts(signed)))
+    every = signed.groupBy("list").count().selectExpr("sum(count * count)").collect()[0][0]
+    assert compared < every / 4, (compared, every)
     want = brute(rows)
     assert sorted(map(tuple, ngram_join.join(frame).collect())) == want
     linked = sum(a < b and 80 * (len(sets[a]) + len(sets[b])) <= 180 * len(np.intersect1d(sets[a], sets[b])) for a in range(300) for b in range(300))
-    pairs = met.select("x.id", "y.id").distinct().count()
+    pairs = met.count()
     assert linked <= pairs <= 2 * linked + 300 and pairs < 300 * 299 // 8, (linked, pairs)
 
 
