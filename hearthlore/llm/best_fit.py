@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ from .common import BATCH_ROWS, arrow_schema, drop, map_rows, small_batches, tex
 
 #: Pieces that a partition packs, and exchanges at most.
 ITEMS, ROUNDS = 1 << 17, 6
+#: Thresholds of the bounding functions.
+THRESHOLDS = 512
 PIECE_SCHEMA = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,35 +50,29 @@ def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-@cache
-def dual_feasible(capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Functions of the lengths 0 to ``capacity`` as rows, and what each makes of a whole sequence.
+def dual_feasible(x: np.ndarray, capacity: int) -> Iterator[tuple[np.ndarray, int]]:
+    """What dual-feasible functions make of the lengths ``x``, each with what it makes of a whole sequence.
 
     The lengths themselves; thresholds, which count a piece above ``capacity - t`` as a whole
     sequence and one below ``t`` as nothing; ``k + 1`` equal steps of which a length between two
     counts as the lower, in ``k`` parts; and counts of pieces of length ``t`` that fit beside a
-    long one.
+    long one. There are some THRESHOLDS values of ``t``, all of them for sequences up to twice as long.
     """
-    x = np.arange(capacity + 1, dtype=np.int64)
-    rows, whole = [x], [capacity]
-    for t in range(1, capacity // 2 + 1):
-        rows.append(np.where(x > capacity - t, capacity, np.where(x < t, 0, x)))
-        whole.append(capacity)
+    yield x, capacity
+    for t in range(1, capacity // 2 + 1, -(-capacity // (2 * THRESHOLDS))):
+        yield np.where(x > capacity - t, capacity, np.where(x < t, 0, x)), capacity
+        fit = capacity // t
+        yield np.where(2 * x > capacity, 2 * (fit - (capacity - x) // t), np.where(2 * x == capacity, fit, 2 * (x // t))), 2 * fit
     for k in range(1, min(capacity, 100) + 1):
         exact = (k + 1) * x % capacity == 0
-        rows.append(np.where(exact, k * x, capacity * ((k + 1) * x // capacity)))
-        whole.append(k * capacity)
-    for t in range(1, capacity // 2 + 1):
-        fit = capacity // t
-        rows.append(np.where(2 * x > capacity, 2 * (fit - (capacity - x) // t), np.where(2 * x == capacity, fit, 2 * (x // t))))
-        whole.append(2 * fit)
-    return np.stack(rows), np.array(whole, np.int64)
+        yield np.where(exact, k * x, capacity * ((k + 1) * x // capacity)), k * capacity
 
 
 def lower_bound(histogram: np.ndarray, capacity: int) -> int:
     """Sequences that pieces need at least; ``histogram`` has the number of pieces of each length from 0 to ``capacity``."""
-    rows, whole = dual_feasible(capacity)
-    return int((-(-(rows @ histogram.astype(np.int64)) // whole)).max())
+    x = np.flatnonzero(histogram)
+    n = histogram[x].astype(np.int64)
+    return max((-(-int(f @ n) // whole) for f, whole in dual_feasible(x, capacity)), default=0)
 
 
 def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
