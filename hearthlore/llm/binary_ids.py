@@ -166,11 +166,10 @@ def write_segments(
         def emit() -> tuple:
             return part, before, total, ids, lens, pack(np.frombuffer(b"".join(held), enc.dtype), block, percentile)
 
-        for doc_id, text in rows:
-            coded = enc.encode(text) + end
+        for doc_id, coded in enc.encode_rows(rows):
             ids.append(doc_id)
-            held.append(coded)
-            lens.append(len(coded) // enc.dtype.itemsize)
+            held.append(coded + end)
+            lens.append(len(held[-1]) // enc.dtype.itemsize)
             total += lens[-1]
             if total >= segment_ids:
                 yield emit()

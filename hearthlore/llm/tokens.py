@@ -3,7 +3,8 @@
 Pre-tokens of the byte-level pattern never reach across a space that stands between
 two other characters, so a text is the concatenation of its space-separated units and
 each unit needs to be merged only once per Python worker. The merging itself is the
-library's; a unit's identifiers are kept as little-endian bytes.
+library's; a unit's identifiers are kept as little-endian bytes. ``encode_rows`` takes texts
+together, finds their distinct units with Arrow, and looks each of them up once.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Unicode White_Space, as the library's pattern has it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -43,6 +46,11 @@ _PIECES = re.compile(
 #: Units that one worker remembers newly; then they become the old ones, and those before are forgotten.
 #: Longer units than REMEMBERED characters are not remembered, so that the memory has a bound in bytes.
 CACHE, REMEMBERED = 200_000, 64
+#: Characters of texts that are encoded together, or those of one longer text.
+TOGETHER = 1 << 21
+#: Marks that are a piece of their own behind a letter or a digit, up to the next space (an apostrophe may begin a piece).
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_ENDS_WORD = f"[0-9{_LETTER}]$"
 
 
 def byte_chars() -> list[str]:
@@ -156,6 +164,28 @@ def splits_as_assumed(tokenizer) -> bool:
     return parted and plain and merges and about["normalizer"] is None and about["truncation"] is None and about["padding"] is None
 
 
+def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places ``start, start + 1, ...`` of all spans, one span after another."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _strings(coded: pa.DictionaryArray) -> list[str]:
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def _without_marks(words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, pa.LargeStringArray]:
+    """Each word up to the marks behind its last letter or digit, and those marks; other words whole."""
+    bare = pc.utf8_rtrim(words, characters=_MARKS)
+    bare = pc.if_else(pc.match_substring_regex(bare, _ENDS_WORD), bare, words)
+    kept, size = (pc.binary_length(x).to_numpy() for x in (bare, words))
+    _, offsets, data = words.buffers()
+    starts = np.frombuffer(offsets, "<i8", len(words), 8 * words.offset)
+    marks = np.frombuffer(data, np.uint8)[_spans(starts + kept, size - kept)] if (size > kept).any() else np.zeros(0, np.uint8)
+    ends = np.concatenate([[0], np.cumsum(size - kept)]).astype("<i8")
+    return bare, pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(marks))
+
+
 class Encoder:
     """Texts to identifiers, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
@@ -210,6 +240,56 @@ class Encoder:
         first, *rest = text.replace("\n", " \n").split(" ")  # a lone line feed is a piece of its own
         return (self.whole[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
+    def encode_rows(self, rows: Iterable[tuple]) -> Iterator[tuple]:
+        """Pairs of anything and a text, as pairs of the same and the text's identifiers, TOGETHER characters at a time."""
+        keys: list = []
+        texts: list[str] = []
+        size = 0
+        for key, text in rows:
+            keys.append(key)
+            texts.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from zip(keys, self.encode_all(texts))
+                keys, texts, size = [], [], 0
+        yield from zip(keys, self.encode_all(texts))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """What ``encode`` gives for each text; distinct words are looked up once."""
+        out: list[bytes | None] = [None] * len(texts)
+        firsts, rests = [], []
+        for k, text in enumerate(texts):
+            if not self.by_units or any(s in text for s in self.special) or _runs(text):
+                out[k] = self.encode(text)
+            else:
+                first, space, rest = text.replace("\n", " \n").partition(" ")
+                firsts.append((k, first))
+                rests.append(rest if space else None)
+        parts = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        n_parts = pc.fill_null(pc.list_value_length(parts), 0).to_numpy()
+        coded, ends = self._spaced_parts(pc.list_flatten(parts))
+        ends, begin = ends[np.cumsum(n_parts)].tolist(), 0
+        for (k, first), end in zip(firsts, ends):
+            out[k] = (self.whole[first] if first else b"") + coded[begin:end]
+            begin = end
+        return out
+
+    def _spaced_parts(self, parts: pa.LargeStringArray) -> tuple[bytes, np.ndarray]:
+        """Identifiers of what stands behind a space each, in one run, and where each part begins in it; the run's end is the last."""
+        found = parts.dictionary_encode()
+        bare, marks = (x.dictionary_encode() for x in _without_marks(found.dictionary))
+        known = [self.spaced[w] for w in _strings(bare)] + [self.pieces[m] if m else b"" for m in _strings(marks)]
+        at = np.cumsum([0, *map(len, known)]) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(known), self.dtype)
+        # a distinct part is a bare word and its marks, a part is one of the distinct parts
+        pairs = np.stack([bare.indices.to_numpy(), marks.indices.to_numpy() + len(bare.dictionary)], 1).reshape(-1)
+        lens = np.diff(at)[pairs]
+        ids = ids[_spans(at[pairs], lens)]
+        lens = lens.reshape(-1, 2).sum(1)
+        own = found.indices.to_numpy()
+        ids = ids[_spans((np.cumsum(lens) - lens)[own], lens[own])]
+        return ids.tobytes(), np.concatenate([[0], np.cumsum(lens[own])]) * self.dtype.itemsize
+
 
 _held: dict[tuple, object] = {}
 

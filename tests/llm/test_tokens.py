@@ -182,6 +182,54 @@ def test_packing_of_mixed_white_space(spark):
     assert [r.ids for r in sorted(binary_ids.read_documents(spark, path).collect(), key=lambda r: r.doc_id)] == [[*ids, 2] for ids in library_ids(t for _, t in rows)]
 
 
+def marked_texts(n, seed):
+    """Texts of single spaces, of words with marks, digits, apostrophes and characters of other kinds around them."""
+    import random
+
+    stems = ["", "a", "the", "Été", "naïve", "x2", "7", "日本", "e\u0301", "it's", "o'", "\0", "\u200b", "ͰͲ", "ǅ", "ª", "²", "a\tb", "a.b", "(see", "\u0378", "<|endoftext", "𝐀", "x" * 70]
+    marks, rng = ["", "", ".", ",", "...", "###", "'", "'s", ".'s", "'.", "_", "…", "»", ".»", "».", "|>", "%\t", "\x7f", "\x85", "é.", "1,"], random.Random(seed)
+    for _ in range(n):
+        yield "".join(rng.choice(stems) + rng.choice(marks) + rng.choice(["", " ", " ", " ", "\n"]) for _ in range(rng.randrange(9)))
+
+
+def test_texts_encoded_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    wide = Tokenizer.from_file(JSON)
+    wide.add_tokens([f"<<{k}>>" for k in range(20_000)])
+    for tok, n in ((Tokenizer.from_file(JSON), 30_000), (tokens.from_ranks(RANKS, public.PATTERN), 5000), (wide, 100), (Tokenizer.from_file(public.path("word_bpe_49k.json")), 100)):
+        enc = tokens.Encoder(tok)
+        assert enc.dtype.itemsize == (4 if tok is wide else 2)
+        texts = ["", " ", "\n", "a", "a ", " .", "word " * 30_000, *marked_texts(n, 5), *space_texts(n // 3, 6)]
+        want = [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+        for size in (1, 1000, 1 << 21):
+            monkeypatch.setattr(tokens, "TOGETHER", size)
+            some = slice(0, 2000 if size == 1 else None)
+            got = list(enc.encode_rows(enumerate(texts[some])))
+            assert [k for k, _ in got] == list(range(len(got)))
+            for text, ids, (_, coded) in zip(texts[some], want[some], got, strict=True):
+                assert np.frombuffer(coded, enc.dtype).tolist() == ids, text
+        assert list(enc.encode_rows([])) == [] and enc.encode_all(["", ""]) == [b"", b""]
+
+
+def test_distinct_words_of_texts_are_looked_up_once():
+    class Counted(tokens.Spaced):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    enc = tokens.Encoder(tokens.from_json(JSON))
+    enc.spaced = Counted(enc._after_space, enc.model.tokenize, enc.code)
+    words = [f"{a}{b}" for a in ("stem", "été") for b in "abcdefghij"]
+    texts = [" ".join([".", *(w + m for w in words for m in ("", ".", ",", "###", "%%%"))])] * 50
+    rows = [(k, t) for k, t in enumerate(texts)]
+    want = enc.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert all(np.frombuffer(coded, enc.dtype).tolist() == want for _, coded in enc.encode_rows(rows))
+    assert enc.spaced.asked == len(words)  # one text at a time asks for each of its 100 words, at least 5,000 times in all
+
+
 def test_other_tokenizers_go_through_the_library(tmp_path):
     import tiktoken
     from tokenizers import Tokenizer, normalizers
