@@ -5,6 +5,7 @@ One setting of the session is made where the caller has none: ``small_batches``
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -98,7 +99,11 @@ def with_bases(found: DataFrame, part: str, count: str) -> DataFrame:
     """
     totals = sorted(found.groupBy(part).agg(F.sum(count).alias("n")).collect())
     bases = list(zip([p for p, _ in totals], accumulate((n for _, n in totals), initial=0)))
-    before = found.sparkSession.createDataFrame(bases, f"{part} int, base long")
+    # as an Arrow table the driver hands them over itself; a list would start Python workers of another kind on each executor
+    schema = f"{part} int, base long"
+    columns = list(zip(*bases)) or [(), ()]
+    rows = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow_schema(found.sparkSession, schema).types)], [part, "base"])
+    before = found.sparkSession.createDataFrame(rows, schema)
     return found.join(F.broadcast(before) if len(bases) <= BASES else before, part)
 
 
@@ -131,12 +136,25 @@ def map_rows(df: DataFrame, schema: str, each: Callable[[Iterator[tuple]], Itera
                 for at in range(0, b.num_rows, 256):
                     yield from zip(*(c.to_pylist() for c in b.slice(at, 256).columns))
 
-        yield from batches_of(each(rows()), arrow)
+        yield from returning(batches_of(each(rows()), arrow))
 
     arrow = arrow_schema(df.sparkSession, schema)
     return small_batches(df).mapInArrow(run, schema)
 
 
+def returning(out: Iterator) -> Iterator:
+    """``out``; at its end this worker hands unused memory back to the machine.
+
+    Spark uses Python workers again, from stage to stage, and what their allocators keep counts for the executor.
+    """
+    try:
+        yield from out
+    finally:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+            trim(0)
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema

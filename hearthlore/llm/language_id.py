@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, texts_of
+from .common import map_rows, returning, small_batches, texts_of
 
 #: The bounds of the training sample, for each language.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 600, 1 << 16
@@ -103,12 +103,15 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
 def decided(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with all their columns."""
 
-    @F.pandas_udf("boolean")
-    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decide = Decider(model, min_margin)
         for texts in batches:
             yield texts.map(lambda t: not decide(t or "")[2])
 
+    @F.pandas_udf("boolean")
+    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from returning(each(batches))
+
     return small_batches(docs).where(keep(F.col(f"`{text_col}`")))
 
 

@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, drop, map_rows, small_batches, texts_of, written
+from .common import arrow_schema, drop, map_rows, returning, small_batches, texts_of, written
 from .components import components
 from .words import blocks, mix, shingle_sets
 
@@ -174,7 +174,7 @@ def _profile(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(lambda batches: returning(run(batches)), schema)
 
 
 def _levels(profile: DataFrame) -> np.ndarray:
@@ -208,7 +208,7 @@ def _emitted(docs: DataFrame, level: np.ndarray) -> DataFrame:
     """``key, cls, kind, unit`` of all signatures; a task emits a class once. Kinds are the constants above."""
     schema = "key long, cls binary, kind int, unit int"
     arrow = arrow_schema(docs.sparkSession, schema)
-    packed = zlib.compress((level[::2] << 4 | level[1::2]).tobytes())
+    packed = zlib.compress(level.tobytes())
 
     def batch(held: list[tuple[np.ndarray, np.ndarray, bytes, int]]) -> pa.RecordBatch:
         keys, units = (np.concatenate([h[k] for h in held]) for k in (0, 1))
@@ -218,8 +218,7 @@ def _emitted(docs: DataFrame, level: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), _binary(cls), pa.array(kinds), pa.array(units)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two = np.frombuffer(zlib.decompress(packed), np.uint8)
-        own_level = np.stack([two >> 4, two & 15], 1).reshape(-1)
+        own_level = np.frombuffer(zlib.decompress(packed, bufsize=SKETCH), np.uint8)
         seen: set[bytes] = set()
         held, size = [], 0
         for _, own in _sets(batches):
@@ -242,7 +241,7 @@ def _emitted(docs: DataFrame, level: np.ndarray) -> DataFrame:
         if held:
             yield batch(held)
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(lambda batches: returning(run(batches)), schema)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -302,7 +301,7 @@ def _lists(singles: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[x : x + 1000]), arrow.types)], schema=arrow)
 
     ordered = singles.select("key", "cls", "unit").repartition("key").sortWithinPartitions("key", "cls")
-    lists = ordered.mapInArrow(run, schema).groupBy("list", "chunk").agg(F.first("members").alias("members"), F.min("units").alias("units"), F.sum("weight").alias("weight"))
+    lists = ordered.mapInArrow(lambda batches: returning(run(batches)), schema).groupBy("list", "chunk").agg(F.first("members").alias("members"), F.min("units").alias("units"), F.sum("weight").alias("weight"))
     return lists.select("list", F.explode(F.arrays_zip("members", "units")).alias("x"), "weight").select("list", F.col("x.members").alias("cls"), F.col("x.units").alias("unit"), "weight")
 
 
@@ -347,7 +346,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
-    links = written(small_batches(sent).mapInArrow(run, schema), "links")
+    links = written(small_batches(sent).mapInArrow(lambda batches: returning(run(batches)), schema), "links")
     drop(routes)
     return links
 

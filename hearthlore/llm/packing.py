@@ -35,11 +35,14 @@ def encode_run(docs: DataFrame, path: str, tokenizer_path: str, separator: int =
 
         part, enc, at = TaskContext.get().partitionId(), tokens.encoder(tokenizer_path), 0
         end = np.array([separator], enc.dtype).tobytes()
-        for doc_id, text in rows:
-            ids = enc.encode(text) + end
-            n = len(ids) // enc.dtype.itemsize
-            yield part, doc_id, at, n, ids
-            at += n
+        try:
+            for doc_id, ids in enc.encode_rows(rows):
+                ids += end
+                n = len(ids) // enc.dtype.itemsize
+                yield part, doc_id, at, n, ids
+                at += n
+        finally:
+            enc.forget()  # later tasks of this worker, of whatever operator, need the memory
 
     map_rows(texts_of(docs, id_col, text_col), CODED_SCHEMA, coded).write.parquet(path)
 

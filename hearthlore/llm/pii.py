@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, texts_of
+from .common import map_rows, returning, small_batches, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The bounds of the training sample, and of an entity.
@@ -312,8 +312,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact(docs: DataFrame, weights: dict[tuple[str, str], float], text_col: str = "text") -> DataFrame:
     """``docs`` with all spans of its texts replaced; null texts stay null, other columns stay as they are."""
-    @F.pandas_udf("string")
-    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         field = Field(weights)
 
         def one(text: str | None) -> str | None:
@@ -325,6 +324,10 @@ def redact(docs: DataFrame, weights: dict[tuple[str, str], float], text_col: str
         for texts in batches:
             yield texts.map(one)
 
+    @F.pandas_udf("string")
+    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from returning(each(batches))
+
     return small_batches(docs).withColumn(text_col, replace(F.col(f"`{text_col}`")))
 
 

@@ -208,6 +208,12 @@ class Encoder:
         self.marks = {m: self._merge(m) for m in ".,"}
         self.line = self._merge(byte_chars()[10])
 
+    def forget(self) -> None:
+        """Drop all units that are remembered."""
+        for units in (self.pieces, self.whole, self.spaced):
+            units.clear()
+            units.old = {}
+
     def _bytes(self, ids: Iterable[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
